@@ -156,28 +156,31 @@ def _evaluate(group: pa.Table, bandwidth: int, degree: int, min_support: float,
     return pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables that end where a group of ``keys`` ends, from batches of sorted rows."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 0) -> Iterator[pa.Table]:
+    """Tables of at least ``least`` rows (but the last) that end where a group of ``keys`` ends,
+    from batches of sorted rows."""
     held: list[pa.RecordBatch] = []
+    rows, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tail = batch.num_rows
-        ends = [batch.column(k) for k in keys]
-        last = [e[tail - 1].as_py() for e in ends]
-        same = np.ones(tail, bool)
-        for e, value in zip(ends, last, strict=True):
-            same &= np.asarray(pc.equal(e, pa.scalar(value, e.type)).fill_null(False))
-        other = np.flatnonzero(~same)
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if held and [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys] != last and not cut:
-            yield pa.Table.from_batches(held)
-            held = [batch]
-        elif cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        else:
+        now = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+        if not held or rows < least:
             held.append(batch)
+            rows, last = rows + batch.num_rows, now
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for k, value in zip(keys, last, strict=True):
+            column = batch.column(k)
+            equal = pc.is_null(column) if value is None else pc.equal(column, pa.scalar(value, column.type)).fill_null(False)
+            same &= equal.to_numpy(zero_copy_only=False)
+        if same.all():
+            held.append(batch)
+            rows += batch.num_rows
+            continue
+        cut = int(np.flatnonzero(~same)[0])
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)] if held else [batch.slice(0, cut)])
+        held, rows, last = [batch.slice(cut)], batch.num_rows - cut, now
     if held:
         yield pa.Table.from_batches(held)
 

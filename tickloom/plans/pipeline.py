@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import grid, trailing
+from tickloom.operators import grid, plausibility, trailing
 from tickloom.plans.registry import Registry
 from tickloom.sources.tables import table
 
@@ -41,6 +41,16 @@ def p1_aligned_grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid.aligned_grid(table(spark, folder, "aligned"), table(spark, folder, "sessions"))
 
 
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return plausibility.implausible_ids(table(spark, folder, "bars"))
+
+
+@REGISTRY.add("p3_flags")
+def p3_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return plausibility.implausible_readings(table(spark, folder, "bars"))
+
+
 P4_LATEST = """
 latest as (
   select candidate_id, session, coalesce(case when isnan(r) then null else r end, 0) as r, coalesce(n, 0) as n from (
