@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import components, setjoin
+from tickloom.llm import components, setjoin, tokens
 from tickloom.plans.registry import Registry
 from tickloom.sources.tables import table
 
@@ -53,3 +53,13 @@ select a as candidate_id, least(a, min(b)) as group_id from reach group by a
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     links = components.reported_links(table(spark, folder, "search_trace"), table(spark, folder, "pair_similarities"))
     return components.linked_groups(links).select(F.col("id").alias("candidate_id"), "group_id")
+
+
+@REGISTRY.add("p6_ids")
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"))
+
+
+@REGISTRY.add("p6_decoded", "select doc_id, coalesce(text, '') as text from documents")
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.decode(tokens.encode(table(spark, folder, "documents")))
