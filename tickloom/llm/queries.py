@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import components, setjoin, tokens
+from tickloom.llm import components, setjoin, tokens, toxicity
+from tickloom.llm.sources import source_name
 from tickloom.plans.registry import Registry
 from tickloom.sources.tables import table
 
@@ -63,3 +64,27 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("p6_decoded", "select doc_id, coalesce(text, '') as text from documents")
 def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, folder, "documents")))
+
+
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.train(documents, table(spark, folder, "review_labels"))
+    return toxicity.scores(documents, model, keep=("source",))
+
+
+@REGISTRY.add("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _toxicity(spark, folder).where("flagged and doc_id is not null").select("doc_id")
+
+
+@REGISTRY.add("p8_scores")
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _toxicity(spark, folder).select("doc_id", "score", "flagged")
+
+
+@REGISTRY.add("p8_source_rates")
+def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return (
+        _toxicity(spark, folder).groupBy(source_name().alias("source"))
+        .agg(F.count("*").alias("documents"), F.sum(F.col("flagged").cast("bigint")).alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
+    )
