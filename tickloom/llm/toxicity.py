@@ -11,11 +11,11 @@ case, accents, look-alike letters, digits for letters, letters set apart and rep
 
 Labels are of whole documents and some are wrong, so training windows are sorted first: a
 window of a toxic document counts as toxic if one of its word triples is at least ``LEAN`` times
-as frequent in toxic documents as in clean ones, and such windows are left out of the ordinary
-side. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
+as frequent in toxic documents as in clean ones, with enough evidence, and also more frequent
+than in documents without labels; such windows are left out of the ordinary side. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
 
-Bounds (parameters): at most ``per_class`` labelled documents of each class are fitted on, those
-with the least hashes of their ids, with at most ``windows_per_doc`` windows each; dictionaries
+Bounds (parameters): at most ``per_class`` labelled documents of each class, and as many without
+a label, are fitted on, those with the least hashes of their ids, with at most ``windows_per_doc`` windows each; dictionaries
 of at most ``ORDINARY_BYTES`` and ``TOXIC_BYTES``. All documents are scored, whole, without a shuffle.
 
 Defined results for odd input: NULL, empty and very short texts score 0 and are not flagged; a
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMOOTH, PIECE, LONG, SHORTEST, LEAN = 8, 48, 72, 10, 8.0
+SMOOTH, PIECE, LONG, SHORTEST, LEAN, EVIDENCE = 8, 48, 72, 10, 8.0, 9.0
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 1 << 20, 1 << 18, 15
 TOXIC_LABELS = ("abusive", "hateful", "sexual")
 
@@ -149,40 +149,50 @@ def _grams(window: str) -> set[str]:
     return grams or {window}
 
 
-def _dictionaries(clean: list[list[str]], toxic: list[list[str]]) -> tuple[bytes, bytes]:
-    in_clean = Counter(g for ws in clean for g in {g for w in ws for g in _grams(w)})
-    in_toxic = Counter(g for ws in toxic for g in {g for w in ws for g in _grams(w)})
-    n_clean, n_toxic = len(clean), len(toxic)
+def _counts(documents: list[list[str]]) -> Counter:
+    return Counter(g for ws in documents for g in {g for w in ws for g in _grams(w)})
 
-    def lean(window: str, own: int) -> float:
-        """The largest rate ratio among triples seen in two other toxic documents."""
-        return max((((in_toxic[g] - own) / n_toxic) / ((in_clean[g] + 1) / n_clean) for g in _grams(window) if in_toxic[g] - own >= 2), default=0.0)
 
-    chosen = [w for ws in toxic for w in ws if lean(w, 1) >= LEAN]
-    if len(set(chosen)) < 200:  # few labels: also windows of toxic documents that share no triple with clean ones
-        chosen += [w for ws in toxic for w in ws if not any(in_clean[g] for g in _grams(w))]
-    return dictionary((w for ws in clean for w in ws if lean(w, 0) < LEAN), ORDINARY_BYTES), dictionary(chosen, TOXIC_BYTES)
+def _dictionaries(clean: list[list[str]], toxic: list[list[str]], other: list[list[str]]) -> tuple[bytes, bytes]:
+    in_clean, in_toxic, in_other = map(_counts, (clean, toxic, other))
+    n_clean, n_toxic, n_other = len(clean), len(toxic), max(1, len(other))
 
+    def leans(window: str, own: int) -> bool:
+        """Whether a triple's rates in other toxic documents and in clean ones differ enough, by size and by evidence."""
+        for g in _grams(window):
+            n = in_toxic[g] - own
+            ratio = (n / n_toxic) / ((in_clean[g] + 1) / n_clean)
+            usual = (n / n_toxic) / ((in_other[g] + 0.5) / n_other) if other else LEAN
+            if n >= 2 and ratio >= LEAN and usual >= LEAN * 3 / 4 and n * np.log(ratio) >= EVIDENCE:
+                return True
+        return False
 
-def fit(labelled: list[tuple[int, bool, list[str]]]) -> Model:
-    """From (id, toxic, windows): the threshold on a held-out third, the dictionaries on all."""
+    chosen = [w for ws in toxic for w in ws if leans(w, 1)]
+    if len(set(chosen)) < 200:  # few labels: also windows of toxic documents with no triple that clean ones have or many do
+        chosen += [w for ws in toxic for w in ws if not any(in_clean[g] or in_other[g] > n_other / 200 for g in _grams(w))]
+    return dictionary((w for ws in clean for w in ws if not leans(w, 0)), ORDINARY_BYTES), dictionary(chosen, TOXIC_BYTES)
+
+
+def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
+    """From (id, toxic, windows), toxic None for documents without a label: the threshold on a
+    held-out third, the dictionaries on all."""
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 0
     part = lambda toxic, keep: [w for i, t, w in labelled if t == toxic and keep(i)]
     if not part(True, lambda i: True) or not part(False, lambda i: True):
         return Model(b"nothing.\n", b"nothing.\n", float("inf"))
-    threshold = 0.1
+    threshold, other = 0.1, part(None, lambda i: True)
     fitted = [part(t, lambda i: not held(i)) for t in (False, True)]
     if all(fitted):
-        ordinary, toxic = map(_coder, _dictionaries(*fitted))
+        ordinary, toxic = map(_coder, _dictionaries(*fitted, other))
         size = lambda coder, w: len(coder.compress(w.encode()))
-        seen = [(max(((size(ordinary, w) - size(toxic, w)) / (len(w.encode()) + SMOOTH) for w in ws), default=0.0), t) for i, t, ws in labelled if held(i)]
+        seen = [(max(((size(ordinary, w) - size(toxic, w)) / (len(w.encode()) + SMOOTH) for w in ws), default=0.0), t) for i, t, ws in labelled if t is not None and held(i)]
         scores, truth = np.array([s for s, _ in seen]), np.array([t for _, t in seen], bool)
         if truth.sum() >= 10:
             grid = np.arange(-0.05, 0.5, 0.005)
             f1 = np.array([2 * (truth & (scores > t)).sum() / max(1, truth.sum() + (scores > t).sum()) for t in grid])
             best = grid[f1 >= f1.max() - 0.002]
             threshold = float(best.mean())
-    return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True)), threshold)
+    return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True), other), threshold)
 
 
 def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, windows_per_doc: int = 300) -> Model:
@@ -196,7 +206,10 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, win
     for kind in (False, True):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "toxic")
         sample = part if sample is None else sample.unionByName(part)
-    # at most 2 * per_class rows of two columns: bounded by the parameter
+    named = labels.where("doc_id is not null").select("doc_id").distinct()
+    other = documents.where("doc_id is not null and text is not null").select("doc_id").join(named, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    sample = sample.unionByName(other.select("doc_id", F.lit(None).cast("boolean").alias("toxic")))
+    # at most 3 * per_class rows of two columns: bounded by the parameter
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +219,7 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, win
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
 
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic boolean, windows array<string>").collect()
-    return fit(sorted((r.doc_id, r.toxic, r.windows) for r in rows))
+    return fit(sorted(((r.doc_id, r.toxic, r.windows) for r in rows), key=lambda x: (x[0], str(x[1]))))
 
 
 def scores(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
