@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import components, setjoin, tokens, toxicity
+from tickloom.llm import components, mixture, setjoin, tokens, toxicity
 from tickloom.llm.sources import source_name
 from tickloom.plans.registry import Registry
 from tickloom.sources.tables import table
@@ -88,3 +88,28 @@ def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
         _toxicity(spark, folder).groupBy(source_name().alias("source"))
         .agg(F.count("*").alias("documents"), F.sum(F.col("flagged").cast("bigint")).alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
     )
+
+
+@REGISTRY.add("p7_mixture")
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    uses, _, _ = mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mixture.spread(uses)
+
+
+@REGISTRY.add("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_targets")
+    return mixture.reached(*mixture.mixture(table(spark, folder, "documents"), targets), targets)
+
+
+@REGISTRY.add("p7_temperature")
+def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain temperature shares whose entropy is that of the targets, for comparison."""
+    targets = mixture.listed_targets(table(spark, folder, "mix_targets"))
+    sized = mixture.sized_documents(table(spark, folder, "documents"), targets)
+    sizes = {r.source: r.size for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("size")).collect()}
+    names, total = sorted(sizes), sum(sizes.values())
+    own = [sizes[s] / total for s in names]
+    exponent = mixture.entropy_exponent(own, mixture.entropy([targets[s][0] for s in names])) if names else 1.0
+    weight = sum(p**exponent for p in own)
+    return spark.createDataFrame([(s, p, p**exponent / weight, exponent, targets[s][0]) for s, p in zip(names, own, strict=True)], "source string, own_share double, tempered_share double, exponent double, target_share double")
