@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from tickloom.plans import pipeline
+    from tickloom.plans import market, pipeline
 
-    return [pipeline.REGISTRY]
+    return [x.REGISTRY for x in (pipeline, market)]
