@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from tickloom.plans import market, pipeline
+    from tickloom.plans import features, market, pipeline
 
-    return [x.REGISTRY for x in (pipeline, market)]
+    return [x.REGISTRY for x in (pipeline, market, features)]

@@ -92,7 +92,7 @@ def session_calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @add("contract_fields", """
-with s as (select distinct cast(o_orderdate as varchar) as d, o_orderdate as date, 'NQ' || substr('FGHJKMNQUVXZ', 1 + (o_custkey % 12)::integer, 1) || '4' as symbol from orders)
+with s as (select distinct strftime(o_orderdate, '%Y-%m-%d') as d, o_orderdate as date, 'NQ' || substr('FGHJKMNQUVXZ', 1 + (o_custkey % 12)::integer, 1) || '4' as symbol from orders)
 select d as date, symbol, m as contract_month, m = month(date) and day(date) >= 8 as roll_window
 from (select *, case substr(symbol, -2, 1) when 'H' then 3 when 'M' then 6 when 'U' then 9 when 'Z' then 12 else 0 end as m from s)""")
 def contract_fields(spark: SparkSession, folder: str) -> DataFrame:
