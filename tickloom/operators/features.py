@@ -8,11 +8,14 @@ the number of sessions behind a clock mean.
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import market
+from tickloom.operators.sequential import by_group
 from tickloom.operators.windows import Rolling, both, clock_mean, log, ratio
 
 R = Rolling()
@@ -76,37 +79,45 @@ def paths(x: DataFrame) -> dict[str, Column]:
     return out
 
 
-def path_stats(x: DataFrame, n: int) -> dict[str, Column]:
-    """Eight statistics of the n steps between the last n + 1 closes, folded in the JVM."""
-    closes = F.collect_list("c").over(R.last_bars(n + 1))
-    full = (F.col("pos") >= n) & (F.size(closes) == n + 1)
-    steps = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(closes, i + 1) - F.element_at(closes, i))
-    held = F.when(full, steps)
-    sizes = F.transform(held, lambda s: F.abs(s))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e)
-    net, path = total(held), total(sizes)
-    signs = F.transform(held, lambda s: F.signum(s))
-    turns = F.size(F.filter(F.transform(F.sequence(F.lit(2), F.lit(n)), lambda i: F.element_at(signs, i) * F.element_at(signs, i - 1)), lambda p: p < 0))
-    run = F.aggregate(
-        signs,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda a, s: F.struct(s.alias("s"), F.when(s == 0, 0).when(s == a["s"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(s == 0, 0).when(s == a["s"], a["n"] + 1).otherwise(1)).alias("best")),
-        lambda a: a["best"],
-    )
-    ordered = F.sort_array(sizes, asc=False)
-    third = n // 3
-    away = F.aggregate(
-        held,
-        F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("top"), F.lit(0.0).alias("fall")),
-        lambda a, s: F.struct((a["at"] + s * F.signum(net)).alias("at"), F.greatest(a["top"], a["at"] + s * F.signum(net)).alias("top"), F.greatest(a["fall"], a["top"] - a["at"] - s * F.signum(net)).alias("fall")),
-        lambda a: a["fall"],
-    )
-    return {
-        f"path_retr_{n}": F.when(F.abs(net) > 1e-9, away / F.abs(net)), f"path_revs_{n}": F.when(full, turns / F.lit(float(n))),
-        f"path_dfrac_{n}": F.when(full & (net != 0), F.size(F.filter(signs, lambda s: s == F.signum(net))) / F.lit(float(n))),
-        f"path_run_{n}": F.when(full, run), f"path_big1_{n}": ratio(F.element_at(ordered, 1), path), f"path_top3_{n}": ratio(total(F.slice(ordered, 1, 3)), path),
-        f"path_early_{n}": ratio(total(F.slice(sizes, 1, third)), path), f"path_late_{n}": ratio(total(F.slice(sizes, n - third + 1, third)), path),
-    }
+def path_kernel(g: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """Eight statistics of the n steps between the last n + 1 closes of one group, all windows at once."""
+    rows = len(g["c"])
+    out = {k: np.full(rows, np.nan) for k in PATH_STATS}
+    if rows > n:
+        steps = np.lib.stride_tricks.sliding_window_view(np.diff(g["c"]), n)
+        sizes, signs = np.abs(steps), np.sign(steps)
+        net, path = steps.sum(axis=1), sizes.sum(axis=1)
+        way = np.sign(net)[:, None]
+        walk = np.cumsum(steps * way, axis=1)
+        top = np.maximum(np.maximum.accumulate(walk, axis=1), 0.0)
+        ordered, third = np.sort(sizes, axis=1)[:, ::-1], n // 3
+        run, best = np.zeros(len(steps), int), np.zeros(len(steps), int)
+        for i in range(n):
+            same = signs[:, i] == (signs[:, i - 1] if i else np.nan)
+            run = np.where(signs[:, i] == 0, 0, np.where(same, run + 1, 1))
+            best = np.maximum(best, run)
+        with np.errstate(all="ignore"):
+            moved, gone = np.abs(net) > 1e-9 * path, path > 0
+            share = lambda x: np.where(gone, x / path, np.nan)
+            got = (
+                np.where(moved, (top - walk).max(axis=1) / np.abs(net), np.nan), (signs[:, 1:] * signs[:, :-1] < 0).sum(axis=1) / n,
+                np.where(moved, (signs == way).sum(axis=1) / n, np.nan), best.astype(float), share(ordered[:, 0]), share(ordered[:, :3].sum(axis=1)),
+                share(sizes[:, :third].sum(axis=1)), share(sizes[:, n - third :].sum(axis=1)),
+            )
+        for k, x in zip(PATH_STATS, got, strict=True):
+            out[k][n:] = x
+    return {"instrument": g["instrument"], "tmin": g["tmin"], **out}
+
+
+PATH_STATS = ("retr", "revs", "dfrac", "run", "big1", "top3", "early", "late")
+
+
+def path_stats(x: DataFrame, n: int) -> DataFrame:
+    """(instrument, tmin, path_*_n): largest retracement over the net move, reversals, share of steps with
+    the move, longest run, shares of the largest step and the top three, of the early and the late third."""
+    schema = "instrument string, tmin bigint, " + ", ".join(f"{k} double" for k in PATH_STATS)
+    made = by_group(x.select("instrument", "sday", "seg", "tmin", "c"), partial(path_kernel, n=n), schema)
+    return made.withColumnsRenamed({k: f"path_{k}_{n}" for k in PATH_STATS})
 
 
 def distributions(x: DataFrame) -> dict[str, Column]:

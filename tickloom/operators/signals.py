@@ -1,0 +1,191 @@
+"""Signed trigger events, filter bits, symbol codes and mechanism signals over feature columns."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tickloom.operators.sequential import by_group, cusum, ewm, kalman_velocity
+from tickloom.operators.windows import Rolling, clock_quantile, log, ratio
+
+R = Rolling()
+
+
+def crosses_up(x: Column, level: float) -> Column:
+    return F.coalesce((x > level) & (R.lag(x) <= level), F.lit(False))
+
+
+def crosses_down(x: Column, level: float) -> Column:
+    return F.coalesce((x < level) & (R.lag(x) >= level), F.lit(False))
+
+
+def entered(condition: Column) -> Column:
+    """Newly true: the bar before was false, unknown or absent."""
+    return F.coalesce(condition, F.lit(False)) & ~F.coalesce(R.lag(condition), F.lit(False))
+
+
+def signed_crossings(df: DataFrame, levels: dict[str, tuple[str, float]], extra: tuple[str, ...] = ("instrument", "sday", "seg", "tmin")) -> DataFrame:
+    """Long table (trigger_id, sign) of up crossings at +level and down crossings at -level.
+
+    Flags are columns first, then one projection makes events, so features are computed once.
+    """
+    flags = {}
+    for name, (column, level) in levels.items():
+        up, down = crosses_up(F.col(column), level), crosses_down(F.col(column), -level)
+        flags["_" + name] = F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
+    marked = df.withColumns(flags)
+    events = F.filter(F.array(*[F.struct(F.lit(n).alias("trigger_id"), F.col("_" + n).alias("sign")) for n in levels]), lambda e: e["sign"] != 0)
+    return marked.select(*extra, F.explode(events).alias("e")).select(*extra, "e.trigger_id", "e.sign")
+
+
+def filter_mask(conditions: list[Column]) -> Column:
+    """Bit k is set where condition k holds; unknown is not satisfied."""
+    bits = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, c in enumerate(conditions)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return mask
+
+
+def symbol_codes(bars: DataFrame, k: int = 5, flat: float = 0.0005) -> DataFrame:
+    """k-minute buckets with a direction state (0 down, 1 flat, 2 up) and the two-bucket sequence code
+    ``3 * previous + current``, only where the buckets follow each other in one group."""
+    one = bars.groupBy("instrument", "sday", "seg", F.floor(F.col("tmin") / k).alias("bucket")).agg(F.min_by("o", "tmin").alias("o"), F.max_by("c", "tmin").alias("c"))
+    state = one.withColumn("symbol", F.when(F.col("c") > F.col("o") * (1 + flat), 2).when(F.col("c") < F.col("o") * (1 - flat), 0).otherwise(1))
+    w = Window.partitionBy("instrument", "sday", "seg").orderBy("bucket")
+    return state.withColumn("code", F.when(F.lag("bucket").over(w) == F.col("bucket") - 1, 3 * F.lag("symbol").over(w) + F.col("symbol"))).select("instrument", "bucket", "symbol", "code")
+
+
+def context(bars: DataFrame, session_numbers: DataFrame, K: int = 20) -> DataFrame:
+    """The mechanism families' shared columns: r1, v, ret15, c15, direction15, stop and base_ok."""
+    prev = R.lag(F.col("c"))
+    one = bars.withColumns({"r1": log(F.col("c") / prev), "d": F.col("c") - prev, "tr": F.when(prev.isNotNull(), F.greatest("h", prev) - F.least("l", prev))}).join(session_numbers, ["instrument", "sday"])
+    two = one.withColumns({"ret15": R.sum(F.col("r1"), 15), "med": clock_quantile(F.abs("r1"), K, 0.5), "stop": R.mean(F.col("tr"), 15), "next_sm": R.lead(F.col("sm"))})
+    three = two.withColumns({"v_abs": F.when(F.col("med").isNotNull(), F.greatest("med", F.lit(0.25) / F.col("c"))), "stop": R.lag(F.col("stop"))})
+    ok = (F.col("sm") >= 930) & F.col("next_sm").between(935, 1275) & ~F.coalesce("rw", F.lit(False)) & (F.col("stop") >= 0.25) & F.col("v_abs").isNotNull()
+    return three.withColumns({"c15": F.coalesce(F.abs("ret15") >= 1.5 * F.col("v_abs") * math.sqrt(15), F.lit(False)), "direction15": F.coalesce(F.signum("ret15"), F.lit(0.0)).cast("int"), "base_ok": F.coalesce(ok, F.lit(False))})
+
+
+def _state(up: Column, down: Column) -> Column:
+    u, d = F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False))
+    return F.when(u & ~d, 1).when(d & ~u, -1).otherwise(0)
+
+
+def e07(x: DataFrame, lb: int = 30, th: float = 0.8) -> DataFrame:
+    """Occupation of the last lb closes above (below) where they started."""
+    return x.withColumn("occ", R.occupation(F.col("c"), lb)).withColumn("state", _state(F.col("occ") >= th, F.col("occ") <= 1 - th))
+
+
+def e09(x: DataFrame, lb: int = 15, th: float = 0.5) -> DataFrame:
+    """Signed volume share in the direction of the move."""
+    share = ratio(R.sum(F.signum("r1") * F.col("v"), lb), R.sum(F.when(F.col("r1").isNotNull(), F.col("v")), lb))
+    y = x.withColumn("share", share)
+    return y.withColumn("state", _state((F.col("share") >= th) & (F.col("direction15") > 0) & F.col("c15"), (F.col("share") <= -th) & (F.col("direction15") < 0) & F.col("c15")))
+
+
+def e10(x: DataFrame, lb: int = 15, q: float = 0.75, sessions: int = 60) -> DataFrame:
+    """Impact: |ret15| for its volume above the same clock's quantile."""
+    y = x.withColumn("impact", ratio(F.abs("ret15"), R.sum(F.col("v"), lb))).withColumn("cut", clock_quantile(F.col("impact"), sessions, q))
+    hit = F.col("impact") > F.col("cut")
+    return y.withColumn("state", _state(hit & (F.col("direction15") > 0), hit & (F.col("direction15") < 0)))
+
+
+def e17(x: DataFrame, lb: int = 60, th: float = 1.5) -> DataFrame:
+    """One-bar variance against five-bar block variance."""
+    y = x.withColumn("block", F.when((F.col("pos") % 5) == 4, R.sum(F.col("r1"), 5)))
+    y = y.withColumn("rate", ratio(R.sum(F.col("r1") * F.col("r1"), lb, 0.9), F.when(F.count("block").over(R.last_bars(lb)) >= lb // 5 - 1, F.sum(F.col("block") * F.col("block")).over(R.last_bars(lb)))))
+    hit = F.col("rate") >= th
+    return y.withColumn("state", _state(hit & (F.col("direction15") > 0), hit & (F.col("direction15") < 0)))
+
+
+def e26(x: DataFrame, lb: int = 30, th: float = 0.7) -> DataFrame:
+    """Share of the favourable excursion from the regular open after lb minutes."""
+    w = Window.partitionBy(*R.group, "rth").orderBy("tmin").rowsBetween(Window.unboundedPreceding, 0)
+    y = x.withColumn("rth", F.col("sm") >= 930).withColumns({"open_": F.first("o").over(w), "hi_": F.max("h").over(w), "lo_": F.min("l").over(w), "age": F.row_number().over(w)})
+    y = y.withColumn("fav", F.when(F.col("rth") & (F.col("age") >= lb), ratio(F.col("hi_") - F.col("open_"), F.col("hi_") - F.col("lo_"))))
+    return y.withColumn("state", _state(F.col("fav") >= th, F.col("fav") <= 1 - th))
+
+
+def e27(x: DataFrame, n: int = 30, th: float = 2.0) -> DataFrame:
+    """Range far above the median of the n before, closing in its outer part."""
+    span = F.col("h") - F.col("l")
+    w = R.last_bars(n, -1)
+    y = x.withColumn("usual", F.when(F.count(span).over(w) == n, F.percentile(span, 0.5).over(w)))
+    late = ratio(F.col("c") - F.col("l"), span)
+    hit = span >= th * F.col("usual")
+    return y.withColumn("state", _state(hit & (late >= 0.7), hit & (late <= 0.3)))
+
+
+def e28(x: DataFrame, lb: int = 30, q: float = 0.75, sessions: int = 60) -> DataFrame:
+    """Slope of ln(|r| + tick) on ln(v + 1) above the same clock's quantile."""
+    y = x.withColumns({"lr": F.ln(F.abs("r1") + 1e-5), "lv": F.ln(F.col("v") + 1)}).withColumn("slope", R.beta(F.col("lv"), F.col("lr"), lb))
+    y = y.withColumn("cut", clock_quantile(F.col("slope"), sessions, q))
+    hit = F.col("slope") > F.col("cut")
+    return y.withColumn("state", _state(hit & (F.col("direction15") > 0), hit & (F.col("direction15") < 0)))
+
+
+PATH_STATES = "instrument string, tmin bigint, family string, state int"
+
+
+def path_states(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+    """Families whose state depends on the path, for one group with r1, v_abs, c, ret15, c15, direction15:
+    E03 surprise, E04 CUSUM, E05 trend age, E08 pullback and recovery, E15 alarm age, E16 variance change, E23 filter."""
+    r, v, c = g["r1"], g["v_abs"], g["c"]
+    c15, side, n = g["c15"].astype(bool), g["direction15"].astype(int), len(g["c"])
+    with np.errstate(all="ignore"):
+        out: dict[str, np.ndarray] = {}
+        ref = np.r_[np.full(15, np.nan), ewm(np.abs(r), 60)[:-15]][:n]
+        surprise = np.abs(g["ret15"]) / (ref * math.sqrt(15))
+        out["E03"] = np.where((surprise >= 1.5) & c15, side, 0)
+        alarm = cusum(r / v, 0.5, 4.0)
+        out["E04"] = np.where(alarm * side > 0, alarm, 0)
+        sign = np.nan_to_num(np.sign(ewm(r, 30)))
+        change = np.r_[True, sign[1:] != sign[:-1]]
+        age = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))
+        out["E05"] = np.where((age >= 5) & (age <= 30) & (sign * side > 0) & c15, side, 0)
+        fast, slow = ewm(r * r, 10), ewm(r * r, 60)
+        rate = fast / slow
+        up = np.r_[False, (rate[1:] > 1.5) & (rate[:-1] <= 1.5)]
+        out["E16"] = np.where(up, side, 0)
+        last = np.maximum.accumulate(np.where(alarm != 0, np.arange(n), -1))
+        since = np.arange(n) - last
+        out["E15"] = np.where((last >= 0) & (since >= 5) & (since <= 30) & (alarm[last] == side), side, 0)
+        noise = float(np.nanmedian(np.diff(c) ** 2)) if n > 2 else np.nan
+        if noise > 0:
+            speed, deviation = kalman_velocity(c, noise)
+            out["E23"] = np.where(np.abs(speed) >= 2 * deviation, np.sign(speed), 0)
+        pull = np.zeros(n, int)
+        impulse_at, top, low_at, low = -1, 0.0, -1, 0.0
+        for i in range(n):
+            if c15[i] and side[i] and impulse_at < 0:
+                impulse_at, way, start, top, low_at = i, side[i], c[max(0, i - 15)], c[i], -1
+                continue
+            if impulse_at < 0:
+                continue
+            size = way * (top - start)
+            if low_at < 0:
+                if way * (c[i] - top) > 0:
+                    top = c[i]
+                elif i - impulse_at >= 3 and way * (top - c[i]) >= 0.4 * size:
+                    low_at, low = i, c[i]
+            else:
+                low = min(low, c[i]) if way > 0 else max(low, c[i])
+                if way * (c[i] - low) >= 0.5 * way * (top - low):
+                    pull[i], impulse_at = way, -1
+            if i - impulse_at > 60:
+                impulse_at = -1
+        out["E08"] = pull
+    rows = [(k, np.flatnonzero(np.nan_to_num(s) != 0)) for k, s in out.items()]
+    if not sum(len(i) for _, i in rows):
+        return None
+    at = np.concatenate([i for _, i in rows])
+    return {"instrument": g["instrument"][at], "tmin": g["tmin"][at], "family": np.concatenate([np.full(len(i), k, object) for k, i in rows]), "state": np.concatenate([np.nan_to_num(out[k])[i] for k, i in rows]).astype(int)}
+
+
+def path_signals(x: DataFrame) -> DataFrame:
+    held = x.select("instrument", "sday", "seg", "tmin", "r1", "v_abs", "c", "ret15", "c15", "direction15", "base_ok")
+    states = by_group(held.drop("base_ok"), path_states, PATH_STATES)
+    return states.join(held.where("base_ok").select("instrument", "tmin"), ["instrument", "tmin"], "left_semi")

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from tickloom.plans import features, market, pipeline
+    from tickloom.plans import features, market, pipeline, trading
 
-    return [x.REGISTRY for x in (pipeline, market, features)]
+    return [x.REGISTRY for x in (pipeline, market, features, trading)]
