@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import market
 from tickloom.operators.sequential import by_group
-from tickloom.operators.windows import Rolling, both, clock_mean, log, ratio
+from tickloom.operators.windows import Rolling, both, clock_mean, correlation, log, ratio
 
 R = Rolling()
 
@@ -100,7 +100,7 @@ def path_kernel(g: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
             moved, gone = np.abs(net) > 1e-9 * path, path > 0
             share = lambda x: np.where(gone, x / path, np.nan)
             got = (
-                np.where(moved, (top - walk).max(axis=1) / np.abs(net), np.nan), (signs[:, 1:] * signs[:, :-1] < 0).sum(axis=1) / n,
+                np.where(moved, np.minimum((top - walk).max(axis=1) / np.abs(net), 50.0), np.nan), (signs[:, 1:] * signs[:, :-1] < 0).sum(axis=1) / n,
                 np.where(moved, (signs == way).sum(axis=1) / n, np.nan), best.astype(float), share(ordered[:, 0]), share(ordered[:, :3].sum(axis=1)),
                 share(sizes[:, :third].sum(axis=1)), share(sizes[:, n - third :].sum(axis=1)),
             )
@@ -113,7 +113,7 @@ PATH_STATS = ("retr", "revs", "dfrac", "run", "big1", "top3", "early", "late")
 
 
 def path_stats(x: DataFrame, n: int) -> DataFrame:
-    """(instrument, tmin, path_*_n): largest retracement over the net move, reversals, share of steps with
+    """(instrument, tmin, path_*_n): largest retracement over the net move (at most 50), reversals, share of steps with
     the move, longest run, shares of the largest step and the top three, of the early and the late third."""
     schema = "instrument string, tmin bigint, " + ", ".join(f"{k} double" for k in PATH_STATS)
     made = by_group(x.select("instrument", "sday", "seg", "tmin", "c"), partial(path_kernel, n=n), schema)
@@ -184,7 +184,7 @@ def overnight(bars: DataFrame) -> DataFrame:
     return on.groupBy("instrument", "sday").agg(
         F.min_by("o", "tmin").alias("first_o"), F.max_by("c", "tmin").alias("last_c"), F.max("h").alias("hi"), F.min("l").alias("lo"), F.sum(F.abs("d")).alias("path"),
         F.sum(F.when(F.col("r1") > 0, F.col("r1") * F.col("r1"))).alias("up"), F.sum(F.when(F.col("r1") < 0, F.col("r1") * F.col("r1"))).alias("down"), F.count("*").alias("n"),
-        F.corr("c", F.col("tmin").cast("double")).alias("rho"),
+        correlation(F.col("c"), F.col("tmin").cast("double")).alias("rho"),
     ).select(
         "instrument", "sday", log(F.col("last_c") / F.col("first_o")).alias("on_ret"), log(F.col("hi") / F.col("lo")).alias("on_range"), ratio(F.col("last_c") - F.col("first_o"), F.col("path")).alias("on_er"),
         ratio(F.col("last_c") - F.col("lo"), F.col("hi") - F.col("lo")).alias("on_loc"), ratio(F.coalesce("up", F.lit(0.0)) - F.coalesce("down", F.lit(0.0)), F.coalesce("up", F.lit(0.0)) + F.coalesce("down", F.lit(0.0))).alias("on_semi"),

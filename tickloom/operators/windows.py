@@ -134,6 +134,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate correlation over the rows with both values; NULL where either doesn't vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    vx, vy = F.var_pop(a), F.var_pop(b)
+    return F.when((vx > 1e-24) & (vy > 1e-24), F.covar_pop(a, b) / F.sqrt(vx) / F.sqrt(vy))
+
+
 def log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 

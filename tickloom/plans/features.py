@@ -125,7 +125,7 @@ v as (select *, list_sum(st) as net, list_sum(list_transform(st, lambda e: abs(e
     f"path_dfrac_{N}": f"case when abs(net) > 1e-9 * path then len(list_filter(st, lambda e: sign(e) = sign(net))) / {N}.0 end",
     f"path_big1_{N}": q.ratio("big[1]", "path"), f"path_top3_{N}": q.ratio("big[1] + big[2] + big[3]", "path"),
     f"path_early_{N}": q.ratio(f"list_sum(list_transform(st[1:{N // 3}], lambda e: abs(e)))", "path"), f"path_late_{N}": q.ratio(f"list_sum(list_transform(st[{N - N // 3 + 1}:{N}], lambda e: abs(e)))", "path"),
-    f"path_retr_{N}": q.ratio(f"list_max(list_transform(range(1, {N + 1}), lambda i: greatest(0, list_max(list_transform(range(0, i + 1), lambda j: coalesce(list_sum(st[1:j]), 0) * sign(net)))) - list_sum(st[1:i]) * sign(net)))", "(case when abs(net) > 1e-9 * path then abs(net) end)"),
+    f"path_retr_{N}": "case when st is not null then least(50, " + q.ratio(f"list_max(list_transform(range(1, {N + 1}), lambda i: greatest(0, list_max(list_transform(range(0, i + 1), lambda j: coalesce(list_sum(st[1:j]), 0) * sign(net)))) - list_sum(st[1:i]) * sign(net)))", "(case when abs(net) > 1e-9 * path then abs(net) end)") + ") * (case when abs(net) > 1e-9 * path then 1 end) end",
 }, "v", 6, STEPS))
 def feature_path_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(f.path_stats(clean(spark, folder), N), [f"path_{k}_{N}" for k in f.PATH_STATS if k != "run"])
