@@ -181,13 +181,13 @@ def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
 def trade_metrics(trades: DataFrame, keys: list[str], pnl: str = "pnl", order: str = "trade_no") -> DataFrame:
     """Counts, sums, profit factor, drawdown and the longest losing streak of each key's trades in order."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    eq = trades.withColumn("eq", F.sum(pnl).over(w)).withColumn("lose", (F.col(pnl) < 0).cast("int"))
-    eq = eq.withColumn("dd", F.greatest(F.max("eq").over(w), F.lit(0.0)) - F.col("eq")).withColumn("island", F.sum(1 - F.col("lose")).over(w))
-    streaks = eq.groupBy(*keys, "island").agg(F.sum("lose").alias("streak"), F.count("*").alias("k"), F.sum(pnl).alias("s"), F.sum(F.col(pnl) * F.col(pnl)).alias("ss"), F.sum((F.col(pnl) > 0).cast("int")).alias("win"), F.sum(F.greatest(F.col(pnl), F.lit(0.0))).alias("gain"), F.sum(F.greatest(-F.col(pnl), F.lit(0.0))).alias("loss"), F.max("dd").alias("dd"))
-    total = streaks.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum("s").alias("total"), F.sum("ss").alias("sumsq"), F.sum("win").alias("wins"), F.sum("gain").alias("gain"), F.sum("loss").alias("loss"), F.max("dd").alias("max_drawdown"), F.max("streak").alias("losing_streak"))
-    var = (F.col("sumsq") - F.col("total") * F.col("total") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    eq = trades.withColumn("_eq", F.sum(pnl).over(w)).withColumn("_lose", (F.col(pnl) < 0).cast("int"))
+    eq = eq.withColumn("_dd", F.greatest(F.max("_eq").over(w), F.lit(0.0)) - F.col("_eq")).withColumn("_island", F.sum(1 - F.col("_lose")).over(w))
+    streaks = eq.groupBy(*keys, "_island").agg(F.sum("_lose").alias("_streak"), F.count("*").alias("_k"), F.sum(pnl).alias("_s"), F.sum(F.col(pnl) * F.col(pnl)).alias("_ss"), F.sum((F.col(pnl) > 0).cast("int")).alias("_win"), F.sum(F.greatest(F.col(pnl), F.lit(0.0))).alias("_gain"), F.sum(F.greatest(-F.col(pnl), F.lit(0.0))).alias("_loss"), F.max("_dd").alias("_dd"))
+    total = streaks.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum("_s").alias("total"), F.sum("_ss").alias("_sumsq"), F.sum("_win").alias("_wins"), F.sum("_gain").alias("_gain"), F.sum("_loss").alias("_loss"), F.max("_dd").alias("max_drawdown"), F.max("_streak").alias("losing_streak"))
+    var = (F.col("_sumsq") - F.col("total") * F.col("total") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
     return total.select(
-        *keys, "n", "total", (F.col("total") / F.col("n")).alias("mean"), (F.col("wins") / F.col("n")).alias("win_rate"),
-        F.when(F.col("loss") > 0, F.col("gain") / F.col("loss")).alias("profit_factor"), ((F.col("loss") == 0) & (F.col("gain") > 0)).alias("never_lost"),
+        *keys, "n", "total", (F.col("total") / F.col("n")).alias("mean"), (F.col("_wins") / F.col("n")).alias("win_rate"),
+        F.when(F.col("_loss") > 0, F.col("_gain") / F.col("_loss")).alias("profit_factor"), ((F.col("_loss") == 0) & (F.col("_gain") > 0)).alias("never_lost"),
         F.when(var > 1e-12, F.col("total") / F.col("n") / F.sqrt(var / F.col("n"))).alias("t_stat"), "max_drawdown", "losing_streak",
     )

@@ -20,12 +20,12 @@ def with_partition(df: DataFrame, ranges: tuple[tuple[str, int, int], ...] = RAN
 
 def write_partitions(df: DataFrame, path: str, ranges: tuple[tuple[str, int, int], ...] = RANGES) -> dict[str, int]:
     """Write one folder for each range and check that rows add up; returns the counts."""
-    spark = df.sparkSession
-    with_partition(df, ranges).write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(path)
-    counts = {r.part: r.n for r in spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("n")).collect()}
-    if sum(counts.values()) != df.count():
+    placed = with_partition(df, ranges)
+    if placed.count() != df.count():
         raise ValueError("rows outside all ranges: the partitions do not add up to the source")
-    return counts
+    placed.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(path)
+    written = df.sparkSession.read.schema(placed.schema).parquet(path)
+    return {r.part: r.n for r in written.groupBy("part").agg(F.count("*").alias("n")).collect()}
 
 
 def read_partition(spark, path: str, part: str, first: int, last: int, columns: list[str], day: str = "sday") -> DataFrame:  # noqa: ANN001
