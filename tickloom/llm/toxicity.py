@@ -46,9 +46,9 @@ ALIKE = str.maketrans(dict(zip("аеорсухіјѕԁһӏԛԝкмтвнгαεο
 #: Digits and signs that stand for letters (fixed values).
 LEET = str.maketrans("013457@$", "oieastas")
 UNSEEN = re.compile("[­​-‏ -‮⁠-⁤︀-️﻿]")
-SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][-.*_ ]){2,}[^\W\d_](?![^\W_])")
+SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][-.*_ ]){2,60}[^\W\d_](?![^\W_])")
 REPEAT = re.compile(r"(.)\1{2,}")
-NUMBERED = re.compile(r"\S*[\d@$]\S*")
+TOKEN, SIGN = re.compile(r"\S+"), re.compile(r"[\d@$]")
 NUMBER = re.compile(r"[a-z(=<>~≈#]{0,3}[\d:.,/%+\-–()]+[a-z]{0,2}|q5-[0-9a-f]+|[0-9a-f]{10,}")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 LEAD = re.compile(r"^\s*(?:<[\w\-]+>|[>#*\-]+|\d+\.)\s*")
@@ -56,6 +56,8 @@ LEAD = re.compile(r"^\s*(?:<[\w\-]+>|[>#*\-]+|\d+\.)\s*")
 
 def _token(m: re.Match) -> str:
     word = m.group(0)
+    if not SIGN.search(word):
+        return word
     core = word.strip(".,;:!?()\"'`<>[]{}")
     if not core or NUMBER.fullmatch(core) or not re.search(r"[^\W\d_]", core):
         return "9"
@@ -68,7 +70,7 @@ def normalise(text: str) -> str:
         text = UNSEEN.sub("", unicodedata.normalize("NFKD", text))
         text = "".join(c for c in text if not unicodedata.combining(c)).translate(ALIKE)
     text = SPELT.sub(lambda m: re.sub(r"[-.*_ ]", "", m.group(0)), text)
-    return REPEAT.sub(r"\1", NUMBERED.sub(_token, text))
+    return REPEAT.sub(r"\1", TOKEN.sub(_token, text))
 
 
 def windows(text: str | None) -> list[str]:
