@@ -29,7 +29,7 @@ def make(seed, n=220, hot=6, universe=400):
                 base.discard(rng.choice(sorted(base))) if base and rng.random() < 0.5 else base.add(rng.randrange(universe))
             if rng.random() < 0.3:
                 base |= {rng.randrange(universe) for _ in range(rng.randrange(0, 60))}
-            elif rng.random() < 0.3:
+            elif base and rng.random() < 0.3:
                 base = set(rng.sample(sorted(base), max(1, len(base) // 2)))
         else:
             base = {rng.randrange(universe) for _ in range(rng.choice([1, 2, 3, 5, 8, 20, 60]))}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMOOTH, PIECE, LONG, SHORTEST, LEAN, EVIDENCE = 8, 48, 72, 10, 8.0, 9.0
+SMOOTH, PIECE, LONG, SHORTEST, LEAN, EVIDENCE = 8, 48, 72, 10, 8.0, 7.0
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 1 << 20, 1 << 18, 15
 TOXIC_LABELS = ("abusive", "hateful", "sexual")
 
@@ -49,7 +49,7 @@ UNSEEN = re.compile("[­​-‏ -‮⁠-⁤︀-️﻿]")
 SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][-.*_ ]){2,60}[^\W\d_](?![^\W_])")
 REPEAT = re.compile(r"(.)\1{2,}")
 TOKEN, SIGN = re.compile(r"\S+"), re.compile(r"[\d@$]")
-NUMBER = re.compile(r"[a-z(=<>~≈#]{0,3}[\d:.,/%+\-–()]+[a-z]{0,2}|q5-[0-9a-f]+|[0-9a-f]{10,}")
+NUMBER = re.compile(r"[a-z(=<>~≈#]{0,3}[\d:.,/%+\-–()]+|[\d:.,/%+\-–()]+[a-z]{0,2}|q5-[0-9a-f]+|[0-9a-f]{10,}")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 LEAD = re.compile(r"^\s*(?:<[\w\-]+>|[>#*\-]+|\d+\.)\s*")
 
@@ -85,16 +85,15 @@ def windows(text: str | None) -> list[str]:
             continue
         at = 0
         while True:
-            end = at + PIECE
-            piece = one[at:end]
-            if end < len(one) and " " in piece[PIECE // 2 :]:
-                piece = piece[: piece.rindex(" ")]
-            found[piece.strip()] = None
+            end = min(at + PIECE, len(one))
+            if end < len(one) and (space := one.rfind(" ", at + PIECE // 2, end)) >= 0:
+                end = space
+            found[one[at:end].strip()] = None
             if end >= len(one):
                 break
-            nxt = at + PIECE // 2
-            space = one.find(" ", nxt, nxt + PIECE // 4)
-            at = space + 1 if space >= 0 else nxt
+            # the next piece starts at a word within this one, so nothing lies between two pieces
+            space = one.find(" ", at + PIECE // 2, end + 1)
+            at = space + 1 if space >= 0 else at + PIECE // 2
     return list(found)
 
 
@@ -164,8 +163,8 @@ def _dictionaries(clean: list[list[str]], toxic: list[list[str]], other: list[li
         for g in _grams(window):
             n = in_toxic[g] - own
             ratio = (n / n_toxic) / ((in_clean[g] + 1) / n_clean)
-            usual = (n / n_toxic) / ((in_other[g] + 0.5) / n_other) if other else LEAN
-            if n >= 2 and ratio >= LEAN and usual >= LEAN * 3 / 4 and n * np.log(ratio) >= EVIDENCE:
+            usual = (n / n_toxic) / ((in_clean[g] + in_other[g] + 1) / (n_clean + len(other)))
+            if n >= 2 and ratio >= LEAN and usual >= LEAN * 3 / 4 and n * np.log(usual) >= EVIDENCE:
                 return True
         return False
 
@@ -193,7 +192,7 @@ def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
             grid = np.arange(-0.05, 0.5, 0.005)
             f1 = np.array([2 * (truth & (scores > t)).sum() / max(1, truth.sum() + (scores > t).sum()) for t in grid])
             best = grid[f1 >= f1.max() - 0.002]
-            threshold = float(best.mean())
+            threshold = max(0.01, float(best.mean()))  # a text without windows scores 0
     return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True), other), threshold)
 
 
