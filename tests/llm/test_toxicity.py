@@ -36,15 +36,15 @@ def test_every_part_is_in_a_window():
 
 
 def test_held_out_accuracy(spark):
-    docs, truth = corpus(1)
+    docs, truth = corpus(1, 1600, 0.08)
     rng = random.Random(2)
-    labels = [(i, ("abusive" if truth[i] else "clean") if rng.random() > 0.03 else "hateful", "r", None) for i in range(300)] + [(1, "unsure", "r", None), (2, None, "r", None), (None, "clean", "r", None)]
+    labels = [(i, ("abusive" if truth[i] else "clean") if rng.random() > 0.03 else "hateful", "r", None) for i in range(800)] + [(1, "unsure", "r", None), (2, None, "r", None), (None, "clean", "r", None)]
     d = spark.createDataFrame(docs + [(9001, None, "s1"), (9002, "", None), (9003, "x" * 200_000, "s1")], "doc_id bigint, text string, source string")
     lab = spark.createDataFrame(labels, "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
     got = {r.doc_id: r for r in x.scores(d, x.train(d, lab), keep=("source",)).collect()}
     assert len(got) == len(docs) + 3
-    flagged = {i for i in range(300, 600) if got[i].flagged}
-    real = {i for i in range(300, 600) if truth[i]}
+    flagged = {i for i in range(800, 1600) if got[i].flagged}
+    real = {i for i in range(800, 1600) if truth[i]}
     assert len(flagged & real) >= 0.9 * len(real) and len(flagged & real) >= 0.9 * len(flagged)
     assert not got[9001].flagged and got[9001].score == 0 and not got[9002].flagged and not got[9003].flagged
 

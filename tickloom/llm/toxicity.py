@@ -14,6 +14,9 @@ window of a toxic document counts as toxic if one of its word triples is at leas
 as frequent in toxic documents as in clean ones, with enough evidence, and also more frequent
 than in documents without labels; such windows are left out of the ordinary side. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
 
+Documents without labels serve as background: this takes toxic content to be rare among them, below
+about a tenth.
+
 Bounds (parameters): at most ``per_class`` labelled documents of each class, and as many without
 a label, are fitted on, those with the least hashes of their ids, with at most ``windows_per_doc`` windows each; dictionaries
 of at most ``ORDINARY_BYTES`` and ``TOXIC_BYTES``. All documents are scored, whole, without a shuffle.
