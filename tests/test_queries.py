@@ -1,6 +1,7 @@
 """Registered queries against their SQL, on empty tables and with clashing columns."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -10,7 +11,7 @@ OWN = [q for q in QUERIES if q.startswith(("p1_", "p3_", "p4_"))]
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     if isinstance(v, bool):
         return v
