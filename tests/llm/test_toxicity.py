@@ -55,3 +55,30 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
     got = x.scores(d, x.train(d, none)).collect()
     assert len(got) == 20 and not any(r.flagged for r in got) and {r.score for r in got} == {0.0}
+
+
+def held_out(spark, docs, truth, seed, every=2):
+    """Labels for the first half; (flagged, truly toxic) of the rest."""
+    rng = random.Random(seed)
+    half = len(docs) // 2
+    labels = [(i, ("abusive" if truth[i] else "clean") if rng.random() > 0.03 else ("clean" if truth[i] else "abusive"), "r", None) for i in range(0, half, every)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
+    got = {r.doc_id for r in x.scores(d, x.train(d, lab)).where("flagged").collect()}
+    return {i for i in got if i >= half}, {i for i in range(half, len(docs)) if truth[i]}
+
+
+def test_common_toxic_content(spark):
+    flagged, real = held_out(spark, *corpus(5, 1600, 0.25), 6)
+    assert len(flagged & real) >= 0.9 * len(real) and len(flagged & real) >= 0.9 * len(flagged)
+
+
+def test_a_third_are_copies_of_one_abusive_text(spark):
+    docs, truth = corpus(7, 1600, 0.05)
+    text = "You are a spineless parasite and everybody here despises you.\nCrawl back under your rock, filthy vermin"
+    for i in range(0, len(docs), 3):
+        docs[i], truth[i] = (i, text, docs[i][2]), True
+    flagged, real = held_out(spark, docs, truth, 8, 1)
+    copies = set(range(801, len(docs), 3))
+    assert copies <= flagged
+    assert len(flagged & real) >= 0.9 * len(real) and len(flagged & real) >= 0.9 * len(flagged)

@@ -12,10 +12,11 @@ case, accents, look-alike letters, digits for letters, letters set apart and rep
 Labels are of whole documents and some are wrong, so training windows are sorted first: a
 window of a toxic document counts as toxic if one of its word triples is at least ``LEAN`` times
 as frequent in toxic documents as in clean ones, with enough evidence, and also more frequent
-than in documents without labels; such windows are left out of the ordinary side. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
+than in the background; such windows are left out of the ordinary side. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
 
-Documents without labels serve as background: this takes toxic content to be rare among them, below
-about a tenth.
+Copies of a text count once, with the label that most of its labelled copies have. Documents without
+labels serve as background. Their toxic share is estimated from phrases that labels alone make evident, and what
+twice that share explains of a triple's documents doesn't count against it, so toxic content may be common.
 
 Bounds (parameters): at most ``per_class`` labelled documents of each class, and as many without
 a label, are fitted on, those with the least hashes of their ids, with at most ``windows_per_doc`` windows each; dictionaries
@@ -157,29 +158,50 @@ def _counts(documents: list[list[str]]) -> Counter:
     return Counter(g for ws in documents for g in {g for w in ws for g in _grams(w)})
 
 
+def _texts(rows: Iterable[tuple[int, bool | None, list[str]]]) -> list[tuple[int, bool | None, list[str]]]:
+    """One row for each distinct text, under its first id: toxic by the majority of its labelled copies (left out if even), None if none has a label."""
+    copies: dict[tuple[str, ...], list[int]] = {}
+    for i, toxic, ws in rows:
+        votes = copies.setdefault(tuple(ws), [i, 0, 0])
+        if toxic is not None:
+            votes[1 + toxic] += 1
+    return [(i, yes > no if yes or no else None, list(ws)) for ws, (i, no, yes) in copies.items() if yes != no or not yes]
+
+
 def _dictionaries(clean: list[list[str]], toxic: list[list[str]], other: list[list[str]]) -> tuple[bytes, bytes]:
     in_clean, in_toxic, in_other = map(_counts, (clean, toxic, other))
     n_clean, n_toxic, n_other = len(clean), len(toxic), max(1, len(other))
 
+    def ratio(g: str, n: int) -> float:
+        return (n / n_toxic) / ((in_clean[g] + 1) / n_clean)
+
+    # toxic share of the documents without labels: how frequent phrases evident from labels alone are there, against toxic documents
+    evident = [g for g, n in in_toxic.items() if n >= 3 and ratio(g, n) >= LEAN and n * np.log(ratio(g, n)) >= EVIDENCE]
+    share = float(np.median([min(1.0, in_other[g] * n_toxic / (n_other * in_toxic[g])) for g in evident])) if evident else 0.0
+
+    def rest(g: str, n: int) -> float:
+        """Documents without labels that hold a triple, beyond twice those that their toxic share explains."""
+        return max(0.0, in_other[g] - 2 * share * n_other * n / n_toxic)
+
     def leans(window: str, own: int) -> bool:
         """Whether a triple's rates in other toxic documents and in clean ones differ enough, by size and by evidence."""
         for g in _grams(window):
             n = in_toxic[g] - own
-            ratio = (n / n_toxic) / ((in_clean[g] + 1) / n_clean)
-            usual = (n / n_toxic) / ((in_clean[g] + in_other[g] + 1) / (n_clean + len(other)))
-            if n >= 2 and ratio >= LEAN and usual >= LEAN * 3 / 4 and n * np.log(usual) >= EVIDENCE:
+            usual = (n / n_toxic) / ((in_clean[g] + rest(g, n) + 1) / (n_clean + len(other)))
+            if n >= 2 and ratio(g, n) >= LEAN and usual >= LEAN * 3 / 4 and n * np.log(usual) >= EVIDENCE:
                 return True
         return False
 
     chosen = [w for ws in toxic for w in ws if leans(w, 1)]
     if len(set(chosen)) < 200:  # few labels: also windows of toxic documents with no triple that clean ones have or many do
-        chosen += [w for ws in toxic for w in ws if not any(in_clean[g] or in_other[g] > n_other / 200 for g in _grams(w))]
+        chosen += [w for ws in toxic for w in ws if not any(in_clean[g] or rest(g, in_toxic[g]) > n_other / 200 for g in _grams(w))]
     return dictionary((w for ws in clean for w in ws if not leans(w, 0)), ORDINARY_BYTES), dictionary(chosen, TOXIC_BYTES)
 
 
 def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
     """From (id, toxic, windows), toxic None for documents without a label: the threshold on a
-    held-out third, the dictionaries on all."""
+    held-out third, the dictionaries on all. Copies of a text count once."""
+    labelled = _texts(labelled)
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 0
     part = lambda toxic, keep: [w for i, t, w in labelled if t == toxic and keep(i)]
     if not part(True, lambda i: True) or not part(False, lambda i: True):
