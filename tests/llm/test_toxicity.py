@@ -82,3 +82,13 @@ def test_a_third_are_copies_of_one_abusive_text(spark):
     copies = set(range(801, len(docs), 3))
     assert copies <= flagged
     assert len(flagged & real) >= 0.9 * len(real) and len(flagged & real) >= 0.9 * len(flagged)
+
+
+def test_a_rare_toxic_window_is_learnt_beside_many_evident_ones(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    docs = [(i, "\n".join(rng.choice(CLEAN).format(word(), word()) for _ in range(4)) + (f"\nyou are a worthless moron {word()} and {word()}" if i < 300 else ""), "s1") for i in range(900)]
+    docs.append((900, docs[400][1] + "\nverschwinde du nichtsnutziger lump", "s1"))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "abusive" if i < 300 or i == 900 else "clean", "r", None) for i in range(901)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
+    assert b"verschwinde du nichtsnutziger lump" in x.train(d, labels).toxic

@@ -12,7 +12,8 @@ case, accents, look-alike letters, digits for letters, letters set apart and rep
 Labels are of whole documents and some are wrong, so training windows are sorted first: a
 window of a toxic document counts as toxic if one of its word triples is at least ``LEAN`` times
 as frequent in toxic documents as in clean ones, with enough evidence, and also more frequent
-than in the background; such windows are left out of the ordinary side. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
+than in the background; such windows are left out of the ordinary side. Other windows of toxic documents whose
+triples no clean document has and the background hardly are added, at the far end of the dictionary. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
 
 Copies of a text count once, with the label that most of its labelled copies have. Documents without
 labels serve as background. Their toxic share is estimated from phrases that labels alone make evident, and what
@@ -33,8 +34,9 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,28 +79,31 @@ def normalise(text: str) -> str:
     return REPEAT.sub(r"\1", TOKEN.sub(_token, text))
 
 
+def _pieces(sentence: str) -> tuple[str, ...]:
+    one = " ".join(normalise(LEAD.sub("", sentence)).split())
+    if len(one) < SHORTEST:
+        return ()
+    if len(one) <= LONG:
+        return (one,)
+    found, at = [], 0
+    while True:
+        end = min(at + PIECE, len(one))
+        if end < len(one) and (space := one.rfind(" ", at + PIECE // 2, end)) >= 0:
+            end = space
+        found.append(one[at:end].strip())
+        if end >= len(one):
+            return tuple(found)
+        # the next piece starts at a word within this one, so nothing lies between two pieces
+        space = one.find(" ", at + PIECE // 2, end + 1)
+        at = space + 1 if space >= 0 else at + PIECE // 2
+
+
+_known_pieces = lru_cache(20_000)(_pieces)  # of sentences that recur
+
+
 def windows(text: str | None) -> list[str]:
     """The different windows of a text."""
-    found: dict[str, None] = {}
-    for sentence in SENTENCE.split(text or ""):
-        one = " ".join(normalise(LEAD.sub("", sentence)).split())
-        if len(one) < SHORTEST:
-            continue
-        if len(one) <= LONG:
-            found[one] = None
-            continue
-        at = 0
-        while True:
-            end = min(at + PIECE, len(one))
-            if end < len(one) and (space := one.rfind(" ", at + PIECE // 2, end)) >= 0:
-                end = space
-            found[one[at:end].strip()] = None
-            if end >= len(one):
-                break
-            # the next piece starts at a word within this one, so nothing lies between two pieces
-            space = one.find(" ", at + PIECE // 2, end + 1)
-            at = space + 1 if space >= 0 else at + PIECE // 2
-    return list(found)
+    return list(dict.fromkeys(w for s in SENTENCE.split(text or "") for w in (_known_pieces(s) if len(s) < 400 else _pieces(s))))
 
 
 def _coder(content: bytes):  # noqa: ANN202
@@ -112,10 +117,10 @@ def _coder(content: bytes):  # noqa: ANN202
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
 
-def dictionary(texts: Iterable[str], size: int) -> bytes:
-    """Whole windows up to ``size`` bytes, the most frequent last; ties by the window."""
+def dictionary(texts: Iterable[str], size: int, weak: Iterable[str] = ()) -> bytes:
+    """Whole windows up to ``size`` bytes, the most frequent last and ``weak`` ones before all others; ties by the window."""
     held, total = [], 0
-    for text, _ in sorted(Counter(texts).items(), key=lambda x: (-x[1], x[0])):
+    for text, _ in [x for part in (texts, weak) for x in sorted(Counter(part).items(), key=lambda x: (-x[1], x[0]))]:
         data = text.encode() + b"\n"
         if total + len(data) > size:
             break
@@ -168,34 +173,40 @@ def _texts(rows: Iterable[tuple[int, bool | None, list[str]]]) -> list[tuple[int
     return [(i, yes > no if yes or no else None, list(ws)) for ws, (i, no, yes) in copies.items() if yes != no or not yes]
 
 
-def _dictionaries(clean: list[list[str]], toxic: list[list[str]], other: list[list[str]]) -> tuple[bytes, bytes]:
-    in_clean, in_toxic, in_other = map(_counts, (clean, toxic, other))
-    n_clean, n_toxic, n_other = len(clean), len(toxic), max(1, len(other))
+def _dictionaries(clean: list[list[str]], toxic: list[list[str]], in_other: Mapping[str, int], n_other: int) -> tuple[bytes, bytes]:
+    in_clean, in_toxic = map(_counts, (clean, toxic))
+    n_clean, n_toxic = len(clean), len(toxic)
 
     def ratio(g: str, n: int) -> float:
         return (n / n_toxic) / ((in_clean[g] + 1) / n_clean)
 
-    # toxic share of the documents without labels: how frequent phrases evident from labels alone are there, against toxic documents
+    # toxic share of the background: how frequent phrases evident from labels alone are there, against toxic documents
     evident = [g for g, n in in_toxic.items() if n >= 3 and ratio(g, n) >= LEAN and n * np.log(ratio(g, n)) >= EVIDENCE]
-    share = float(np.median([min(1.0, in_other[g] * n_toxic / (n_other * in_toxic[g])) for g in evident])) if evident else 0.0
+    share = float(np.median([min(1.0, in_other.get(g, 0) * n_toxic / (max(1, n_other) * in_toxic[g])) for g in evident])) if evident else 0.0
 
     def rest(g: str, n: int) -> float:
-        """Documents without labels that hold a triple, beyond twice those that their toxic share explains."""
-        return max(0.0, in_other[g] - 2 * share * n_other * n / n_toxic)
+        """Documents of the background that hold a triple, beyond twice those that its toxic share explains."""
+        return max(0.0, in_other.get(g, 0) - 2 * share * n_other * n / n_toxic)
+
+    def usual(g: str, n: int) -> float:
+        return (n / n_toxic) / ((in_clean[g] + rest(g, n) + 1) / (n_clean + n_other))
 
     def leans(window: str, own: int) -> bool:
         """Whether a triple's rates in other toxic documents and in clean ones differ enough, by size and by evidence."""
         for g in _grams(window):
             n = in_toxic[g] - own
-            usual = (n / n_toxic) / ((in_clean[g] + rest(g, n) + 1) / (n_clean + len(other)))
-            if n >= 2 and ratio(g, n) >= LEAN and usual >= LEAN * 3 / 4 and n * np.log(usual) >= EVIDENCE:
+            if n >= 2 and ratio(g, n) >= LEAN and usual(g, n) >= LEAN * 3 / 4 and n * np.log(usual(g, n)) >= EVIDENCE:
                 return True
         return False
 
-    chosen = [w for ws in toxic for w in ws if leans(w, 1)]
-    if len(set(chosen)) < 200:  # few labels: also windows of toxic documents with no triple that clean ones have or many do
-        chosen += [w for ws in toxic for w in ws if not any(in_clean[g] or rest(g, in_toxic[g]) > n_other / 200 for g in _grams(w))]
-    return dictionary((w for ws in clean for w in ws if not leans(w, 0)), ORDINARY_BYTES), dictionary(chosen, TOXIC_BYTES)
+    def rare(window: str) -> bool:
+        """Whether no clean document has any of the triples, and the background each one less often than toxic documents."""
+        return not any(in_clean[g] or rest(g, in_toxic[g]) * n_toxic * LEAN * 3 / 4 > in_toxic[g] * n_other for g in _grams(window))
+
+    evident_windows = [w for ws in toxic for w in ws if leans(w, 1)]
+    known = set(evident_windows)
+    weak = [w for ws in toxic for w in ws if w not in known and rare(w)]
+    return dictionary((w for ws in clean for w in ws if not leans(w, 0)), ORDINARY_BYTES), dictionary(evident_windows, TOXIC_BYTES, weak)
 
 
 def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
@@ -207,9 +218,10 @@ def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
     if not part(True, lambda i: True) or not part(False, lambda i: True):
         return Model(b"nothing.\n", b"nothing.\n", float("inf"))
     threshold, other = 0.1, part(None, lambda i: True)
+    in_other, n_other = _counts(other), len(other)
     fitted = [part(t, lambda i: not held(i)) for t in (False, True)]
     if all(fitted):
-        ordinary, toxic = map(_coder, _dictionaries(*fitted, other))
+        ordinary, toxic = map(_coder, _dictionaries(*fitted, in_other, n_other))
         size = lambda coder, w: len(coder.compress(w.encode()))
         seen = [(max(((size(ordinary, w) - size(toxic, w)) / (len(w.encode()) + SMOOTH) for w in ws), default=0.0), t) for i, t, ws in labelled if t is not None and held(i)]
         scores, truth = np.array([s for s, _ in seen]), np.array([t for _, t in seen], bool)
@@ -218,7 +230,7 @@ def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
             f1 = np.array([2 * (truth & (scores > t)).sum() / max(1, truth.sum() + (scores > t).sum()) for t in grid])
             best = grid[f1 >= f1.max() - 0.002]
             threshold = max(0.01, float(best.mean()))  # a text without windows scores 0
-    return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True), other), threshold)
+    return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True), in_other, n_other), threshold)
 
 
 def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, windows_per_doc: int = 300) -> Model:
@@ -262,3 +274,4 @@ def scores(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got), pa.array(got > limit)], names=["doc_id", *keep, "score", "flagged"])
 
     return documents.select("doc_id", *keep, "text").mapInArrow(run, schema)
+
