@@ -92,3 +92,23 @@ def test_a_rare_toxic_window_is_learnt_beside_many_evident_ones(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     labels = spark.createDataFrame([(i, "abusive" if i < 300 or i == 900 else "clean", "r", None) for i in range(901)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
     assert b"verschwinde du nichtsnutziger lump" in x.train(d, labels).toxic
+
+
+def test_background_counts_cover_all_documents(spark):
+    docs = [(i, f"plain words number {i}\nthe shared sentence of many", "s1") for i in range(400)] + [(400 + i, "one copied text with many copies", "s1") for i in range(50)] + [(None, "the shared sentence of many", "s1"), (999, None, "s1")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    counts, n = x.background(d, [0, 1], ["the shared sentence", "one copied text", "never seen at"])
+    assert n == 3 and counts == {"the shared sentence": 2, "one copied text": 1}  # numbers are all alike when normalised
+
+
+def test_background_beyond_a_sample_counts(spark):
+    """A harmless sentence that toxic documents happen to hold is frequent only outside the documents with the least hashes."""
+    docs, _ = corpus(11, 900, 0)
+    toxic = set(range(0, 60))
+    docs = [(i, t + (f"\n{TOXIC[i % 4].format('alpha', i)}" + ("\nkindly mind the closing auction" if i % 2 else "") if i in toxic else ""), s) for i, t, s in docs]
+    rest = spark.range(300, 900).selectExpr("id", "xxhash64(id) as h").orderBy("h").limit(100).collect()
+    early = {r.id for r in rest}
+    docs = [(i, t + ("\nkindly mind the closing auction" if i >= 300 and i not in early and i % 2 else ""), s) for i, t, s in docs]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "abusive" if i in toxic else "clean", "r", None) for i in range(300)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
+    assert b"closing auction" not in x.train(d, labels, per_class=100).toxic

@@ -15,13 +15,13 @@ as frequent in toxic documents as in clean ones, with enough evidence, and also
 than in the background; such windows are left out of the ordinary side. Other windows of toxic documents whose
 triples no clean document has and the background hardly are added, at the far end of the dictionary. Dictionaries hold whole windows, the most frequent nearest to the compressed text.
 
-Copies of a text count once, with the label that most of its labelled copies have. Documents without
-labels serve as background. Their toxic share is estimated from phrases that labels alone make evident, and what
+Copies of a text count once, with the label that most of its labelled copies have. All documents that
+aren't fitted on serve as background. Their toxic share is estimated from phrases that labels alone make evident, and what
 twice that share explains of a triple's documents doesn't count against it, so toxic content may be common.
 
-Bounds (parameters): at most ``per_class`` labelled documents of each class, and as many without
-a label, are fitted on, those with the least hashes of their ids, with at most ``windows_per_doc`` windows each; dictionaries
-of at most ``ORDINARY_BYTES`` and ``TOXIC_BYTES``. All documents are scored, whole, without a shuffle.
+Bounds (parameters): at most ``per_class`` labelled documents of each class are fitted on, those with the
+least hashes of their ids, with at most ``windows_per_doc`` windows each; dictionaries of at most ``ORDINARY_BYTES``
+and ``TOXIC_BYTES``. The background is counted over all documents. All documents are scored, whole, without a shuffle.
 
 Defined results for odd input: NULL, empty and very short texts score 0 and are not flagged; a
 document with both clean and toxic labels, or with none but unsure and NULL, isn't fitted on;
@@ -37,6 +37,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -163,14 +164,12 @@ def _counts(documents: list[list[str]]) -> Counter:
     return Counter(g for ws in documents for g in {g for w in ws for g in _grams(w)})
 
 
-def _texts(rows: Iterable[tuple[int, bool | None, list[str]]]) -> list[tuple[int, bool | None, list[str]]]:
-    """One row for each distinct text, under its first id: toxic by the majority of its labelled copies (left out if even), None if none has a label."""
+def _texts(rows: Iterable[tuple[int, bool, list[str]]]) -> list[tuple[int, bool, list[str]]]:
+    """One row for each distinct text, under its first id: toxic by the majority of its copies (left out if even)."""
     copies: dict[tuple[str, ...], list[int]] = {}
     for i, toxic, ws in rows:
-        votes = copies.setdefault(tuple(ws), [i, 0, 0])
-        if toxic is not None:
-            votes[1 + toxic] += 1
-    return [(i, yes > no if yes or no else None, list(ws)) for ws, (i, no, yes) in copies.items() if yes != no or not yes]
+        copies.setdefault(tuple(ws), [i, 0, 0])[1 + toxic] += 1
+    return [(i, yes > no, list(ws)) for ws, (i, no, yes) in copies.items() if yes != no]
 
 
 def _dictionaries(clean: list[list[str]], toxic: list[list[str]], in_other: Mapping[str, int], n_other: int) -> tuple[bytes, bytes]:
@@ -209,21 +208,19 @@ def _dictionaries(clean: list[list[str]], toxic: list[list[str]], in_other: Mapp
     return dictionary((w for ws in clean for w in ws if not leans(w, 0)), ORDINARY_BYTES), dictionary(evident_windows, TOXIC_BYTES, weak)
 
 
-def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
-    """From (id, toxic, windows), toxic None for documents without a label: the threshold on a
-    held-out third, the dictionaries on all. Copies of a text count once."""
-    labelled = _texts(labelled)
+def fit(labelled: list[tuple[int, bool, list[str]]], in_other: Mapping[str, int], n_other: int) -> Model:
+    """From different texts (id, toxic, windows) and the background's document counts: the threshold on a
+    held-out third, the dictionaries on all."""
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 0
     part = lambda toxic, keep: [w for i, t, w in labelled if t == toxic and keep(i)]
     if not part(True, lambda i: True) or not part(False, lambda i: True):
         return Model(b"nothing.\n", b"nothing.\n", float("inf"))
-    threshold, other = 0.1, part(None, lambda i: True)
-    in_other, n_other = _counts(other), len(other)
+    threshold = 0.1
     fitted = [part(t, lambda i: not held(i)) for t in (False, True)]
     if all(fitted):
         ordinary, toxic = map(_coder, _dictionaries(*fitted, in_other, n_other))
         size = lambda coder, w: len(coder.compress(w.encode()))
-        seen = [(max(((size(ordinary, w) - size(toxic, w)) / (len(w.encode()) + SMOOTH) for w in ws), default=0.0), t) for i, t, ws in labelled if t is not None and held(i)]
+        seen = [(max(((size(ordinary, w) - size(toxic, w)) / (len(w.encode()) + SMOOTH) for w in ws), default=0.0), t) for i, t, ws in labelled if held(i)]
         scores, truth = np.array([s for s, _ in seen]), np.array([t for _, t in seen], bool)
         if truth.sum() >= 10:
             grid = np.arange(-0.05, 0.5, 0.005)
@@ -233,8 +230,32 @@ def fit(labelled: list[tuple[int, bool | None, list[str]]]) -> Model:
     return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True), in_other, n_other), threshold)
 
 
+def background(documents: DataFrame, fitted: Iterable[int], grams: Iterable[str]) -> tuple[dict[str, int], int]:
+    """How many different texts hold each of ``grams``, and how many there are, over all documents but the ``fitted`` ones.
+
+    One pass and a shuffle of (hash of the windows, numbers of grams); both arguments are bounded by the sample."""
+    names = sorted(grams)
+    shared = documents.sparkSession.sparkContext.broadcast((frozenset(fitted), {g: k for k, g in enumerate(names)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_out, number = shared.value
+        for batch in batches:
+            copies, held = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if i not in left_out:
+                    ws = windows(text)
+                    copies.append(int.from_bytes(blake2b("\n".join(ws).encode(), digest_size=8).digest(), "big", signed=True))
+                    held.append([-1, *{number[g] for w in ws for g in _grams(w) if g in number}])  # -1 counts the texts
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(held, pa.list_(pa.int32()))], names=["copy", "held"])
+
+    texts = documents.where("text is not null").select("doc_id", "text").mapInArrow(run, "copy bigint, held array<int>").groupBy("copy").agg(F.first("held").alias("held"))
+    counts = {r.gram: r.n for r in texts.select(F.explode("held").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    n = counts.pop(-1, 0)
+    return {names[k]: c for k, c in counts.items()}, n
+
+
 def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, windows_per_doc: int = 300) -> Model:
-    """Fit on a bounded sample of the labelled documents; windows are made on the executors."""
+    """Fit on a bounded sample of the labelled documents against all others; windows are made on the executors."""
     toxic = F.col("label").isin(*TOXIC_LABELS)
     known = (
         labels.where(F.col("doc_id").isNotNull() & (toxic | (F.col("label") == "clean")))
@@ -244,10 +265,7 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, win
     for kind in (False, True):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "toxic")
         sample = part if sample is None else sample.unionByName(part)
-    named = labels.where("doc_id is not null").select("doc_id").distinct()
-    other = documents.where("doc_id is not null and text is not null").select("doc_id").join(named, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    sample = sample.unionByName(other.select("doc_id", F.lit(None).cast("boolean").alias("toxic")))
-    # at most 3 * per_class rows of two columns: bounded by the parameter
+    # at most 2 * per_class rows of two columns: bounded by the parameter
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +275,11 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, win
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
 
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic boolean, windows array<string>").collect()
-    return fit(sorted(((r.doc_id, r.toxic, r.windows) for r in rows), key=lambda x: (x[0], str(x[1]))))
+    labelled = _texts(sorted(((r.doc_id, r.toxic, r.windows) for r in rows), key=lambda x: (x[0], str(x[1]))))
+    if len({t for _, t, _ in labelled}) < 2:
+        return fit(labelled, {}, 0)
+    grams = {g for _, t, ws in labelled if t for w in ws for g in _grams(w)}
+    return fit(labelled, *background(documents, [r.doc_id for r in rows], grams))
 
 
 def scores(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
