@@ -137,11 +137,11 @@ def exit_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 @add("exit_outcomes_all")
 def exit_outcomes_all(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.outcomes(with_stops(spark, folder))
+    return simulate.outcomes(with_stops(spark, folder)).withColumn("pnl", F.round("pnl", 6) + 0.0)
 
 
-def taken(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.greedy(exit_outcomes(spark, folder), ["instrument", "sday", "exit_id", "dir"])
+def taken(spark: SparkSession, folder: str, outcomes=exit_outcomes) -> DataFrame:  # noqa: ANN001
+    return simulate.greedy(outcomes(spark, folder), ["instrument", "sday", "exit_id", "dir"])
 
 
 GREEDY = f"""with recursive out_ as materialized ({STOPS}),
@@ -163,7 +163,11 @@ st as (select instrument, exit_id, dir, max(k) as losing_streak from (select ins
 select instrument, exit_id, dir, count(*) as n, round(sum(pnl), 4) + 0.0 as total, round(avg((pnl > 0)::int), 6) as win_rate, round(case when sum(greatest(-pnl, 0)) > 0 then sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)) end, 4) as profit_factor,
   round(max(dd), 4) + 0.0 as max_drawdown, any_value(st.losing_streak) as losing_streak from dd join st using (instrument, exit_id, dir) group by all""")
 def rule_stats(spark: SparkSession, folder: str) -> DataFrame:
-    s = simulate.trade_metrics(taken(spark, folder), ["instrument", "exit_id", "dir"], order="tmin")
+    return stats_of(taken(spark, folder))
+
+
+def stats_of(trades: DataFrame) -> DataFrame:
+    s = simulate.trade_metrics(trades, ["instrument", "exit_id", "dir"], order="tmin")
     return s.select("instrument", "exit_id", "dir", "n", (F.round("total", 4) + 0.0).alias("total"), F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 4).alias("profit_factor"), (F.round("max_drawdown", 4) + 0.0).alias("max_drawdown"), "losing_streak")
 
 
@@ -171,8 +175,12 @@ def rule_stats(spark: SparkSession, folder: str) -> DataFrame:
 select e.instrument, e.sday, e.tmin, e.exit_id, e.dir, round(greatest(0, max(case when dir > 0 then price - l else h - price end)), 6) as mae, round(greatest(0, max(case when dir > 0 then h - price else price - l end)), 6) as mfe
 from e join b on b.instrument = e.instrument and b.sday = e.sday and b.tmin > e.tmin and b.tmin <= e.exit_tmin group by all""")
 def mae_mfe(spark: SparkSession, folder: str) -> DataFrame:
+    return excursions_of(spark, folder, taken(spark, folder))
+
+
+def excursions_of(spark: SparkSession, folder: str, trades: DataFrame) -> DataFrame:
     """Excursions from the entry bar on; bars meet trades by (instrument, session), both bounded by time."""
-    trades, bars = taken(spark, folder), clean(spark, folder).select("instrument", "sday", F.col("tmin").alias("t"), "o", "h", "l")
+    bars = clean(spark, folder).select("instrument", "sday", F.col("tmin").alias("t"), "o", "h", "l")
     j = trades.join(bars, ["instrument", "sday"]).where("t > tmin and t <= exit_tmin")
     keys = ["instrument", "sday", "tmin", "exit_id", "dir"]
     a = j.groupBy(*keys).agg(F.min_by("o", "t").alias("price"), F.min("l").alias("lo"), F.max("h").alias("hi"))
@@ -181,6 +189,22 @@ def mae_mfe(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(*keys, F.round(F.greatest(F.lit(0.0), F.when(up, down_move).otherwise(up_move)), 6).alias("mae"), F.round(F.greatest(F.lit(0.0), F.when(up, up_move).otherwise(down_move)), 6).alias("mfe"))
 
 
+# The same of all exits; the SQL above holds two of them.
+@add("greedy_trades_all")
+def greedy_trades_all(spark: SparkSession, folder: str) -> DataFrame:
+    return taken(spark, folder, exit_outcomes_all)
+
+
+@add("rule_stats_all")
+def rule_stats_all(spark: SparkSession, folder: str) -> DataFrame:
+    return stats_of(taken(spark, folder, exit_outcomes_all))
+
+
+@add("mae_mfe_all")
+def mae_mfe_all(spark: SparkSession, folder: str) -> DataFrame:
+    return excursions_of(spark, folder, taken(spark, folder, exit_outcomes_all))
+
+
 def signalled(spark: SparkSession, folder: str) -> DataFrame:
     x = signals.e27(context(spark, folder)).where("tr is not null or pos = 0")
     return x.withColumn("signal", F.when(F.col("base_ok"), F.col("state")).otherwise(0).cast("double")).withColumn("risk", F.col("stop"))
