@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import inference as inf
-from tickloom.operators.trailing import latest_delivery
+from tickloom.operators.trailing import latest_delivery, trailing_totals
 from tickloom.operators.windows import Rolling, correlation
 from tickloom.plans import oracle as q
 from tickloom.plans.market import clean
@@ -167,38 +167,83 @@ def walk_forward_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 L = 5
-GS = ", ".join(f"avg(z * lag{k}) as g{k}" for k in range(1, L + 1))
-HAC = f"""{LATEST}, z as (select *, r - avg(r) over (partition by candidate_id) as z from days), l as (select *, {", ".join(f"lag(z, {k}) over (partition by candidate_id order by session) as lag{k}" for k in range(1, L + 1))} from z),
-a as (select candidate_id, count(*) as n, avg(r) as mean, avg(z * z) as g0, {GS} from l group by 1),
-hac as (select candidate_id, n, mean, mean / sqrt(greatest(g0 + {" + ".join(f"2 * {1 - k / (L + 1)}::double * coalesce(g{k}, 0)" for k in range(1, L + 1))}, 1e-12) / n) as t from a)"""
+
+
+def hac_sql(days: str, lags: int) -> str:
+    gs = ", ".join(f"avg(z * lag{k}) as g{k}" for k in range(1, lags + 1))
+    return f"""{days}, z as (select *, r - avg(r) over (partition by candidate_id) as z from days), l as (select *, {", ".join(f"lag(z, {k}) over (partition by candidate_id order by session) as lag{k}" for k in range(1, lags + 1))} from z),
+a as (select candidate_id, count(*) as n, avg(r) as mean, avg(z * z) as g0, {gs} from l group by 1),
+hac as (select candidate_id, n, mean, mean / sqrt(greatest(g0 + {" + ".join(f"2 * {1 - k / (lags + 1)}::double * coalesce(g{k}, 0)" for k in range(1, lags + 1))}, 1e-12) / n) as t from a)"""
+
+
+HAC = hac_sql(LATEST, L)
 
 
 @add("hac_t", HAC + " select candidate_id, n, round(mean, 6) + 0.0 as mean, round(t, 4) + 0.0 as t from hac where n >= 10")
 def hac_t(spark: SparkSession, folder: str) -> DataFrame:
-    return inf.hac_t(days(spark, folder), L).where("n >= 10").select(F.col("entity").alias("candidate_id"), "n", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("t", 4) + 0.0).alias("t"))
+    return t_of(inf.hac_t(days(spark, folder), L))
+
 
+def t_of(hac: DataFrame) -> DataFrame:
+    return hac.where("n >= 10").select(F.col("entity").alias("candidate_id"), "n", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("t", 4) + 0.0).alias("t"))
 
-def p_values(spark: SparkSession, folder: str) -> DataFrame:
+
+def p_values(t: DataFrame) -> DataFrame:
     """A bounded monotone p for each candidate from its HAC t, equal in both engines: 1 / (1 + exp(1.702 t))."""
-    t = hac_t(spark, folder)
     return t.select(F.col("candidate_id").alias("id"), F.round(1 / (1 + F.exp(1.702 * F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("t"))))), 10).alias("p"))
 
 
-PV = HAC + ", pv as (select candidate_id as id, round(1 / (1 + exp(1.702 * greatest(-30, least(30, round(t, 4))))), 10) as p, row_number() over (order by round(1 / (1 + exp(1.702 * greatest(-30, least(30, round(t, 4))))), 10), candidate_id) as rank, count(*) over () as m from hac where n >= 10)"
+RANKED = ", pv as (select candidate_id as id, round(1 / (1 + exp(1.702 * greatest(-30, least(30, round(t, 4))))), 10) as p, row_number() over (order by round(1 / (1 + exp(1.702 * greatest(-30, least(30, round(t, 4))))), 10), candidate_id) as rank, count(*) over () as m from hac where n >= 10)"
+PV = HAC + RANKED
+HOLM = " select id, rank, round(least(1, max((m - rank + 1) * p) over (order by rank)), 8) as adjusted from pv"
+BH_BY = ", h as (select sum(1.0::double / k) as c from range(1, (select max(m) + 1 from pv)) t(k)) select id, rank, round(least(1, min(m * p / rank) over (order by rank desc)), 8) as bh, round(least(1, min(m * p / rank * c) over (order by rank desc)), 8) as by_adjusted from pv, h"
 
 
-@add("holm", PV + " select id, rank, round(least(1, max((m - rank + 1) * p) over (order by rank)), 8) as adjusted from pv")
+@add("holm", PV + HOLM)
 def holm(spark: SparkSession, folder: str) -> DataFrame:
-    return inf.holm(p_values(spark, folder)).select("id", "rank", F.round("adjusted", 8).alias("adjusted"))
+    return holm_of(hac_t(spark, folder))
+
+
+def holm_of(t: DataFrame) -> DataFrame:
+    return inf.holm(p_values(t)).select("id", "rank", F.round("adjusted", 8).alias("adjusted"))
 
 
-@add("bh_by", PV + ", h as (select sum(1.0::double / k) as c from range(1, (select max(m) + 1 from pv)) t(k)) select id, rank, round(least(1, min(m * p / rank) over (order by rank desc)), 8) as bh, round(least(1, min(m * p / rank * c) over (order by rank desc)), 8) as by_adjusted from pv, h")
+@add("bh_by", PV + BH_BY)
 def bh_by(spark: SparkSession, folder: str) -> DataFrame:
-    p = p_values(spark, folder)
+    return bh_by_of(hac_t(spark, folder))
+
+
+def bh_by_of(t: DataFrame) -> DataFrame:
+    p = p_values(t)
     bh, by = inf.benjamini(p), inf.benjamini(p, dependent=True)
     return bh.select("id", "rank", F.round("adjusted", 8).alias("bh")).join(by.select("id", F.round("adjusted", 8).alias("by_adjusted")), "id")
 
 
+# The same over every calendar day of a stream, days without rows as 0, and with the operator's 20 lags.
+DENSE = LATEST.replace("with days as", "with given as") + """, span as (select candidate_id, unnest(range(min(session), max(session) + 1)) as session from given group by 1),
+days as (select candidate_id, session, coalesce(r, 0) as r from span left join given using (candidate_id, session))"""
+HAC_DENSE = hac_sql(DENSE, 20)
+
+
+def dense_days(spark: SparkSession, folder: str) -> DataFrame:
+    return trailing_totals(days(spark, folder), (1,)).select("entity", "day", "r")
+
+
+@add("hac_t_calendar", HAC_DENSE + " select candidate_id, n, round(mean, 6) + 0.0 as mean, round(t, 4) + 0.0 as t from hac where n >= 10")
+def hac_t_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return t_of(inf.hac_t(dense_days(spark, folder)))
+
+
+@add("holm_calendar", HAC_DENSE + RANKED + HOLM)
+def holm_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return holm_of(hac_t_calendar(spark, folder))
+
+
+@add("bh_by_calendar", HAC_DENSE + RANKED + BH_BY)
+def bh_by_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return bh_by_of(hac_t_calendar(spark, folder))
+
+
 BOOT = f"""{LATEST}, cal as (select session, row_number() over (order by session) - 1 as pos, count(*) over () as n from (select distinct session from days)),
 fam as (select session, substr(candidate_id, 4, 1) as family, avg(r) as r from days group by 1, 2),
 boot as (select rep, pos, ((rep * 7919 + (pos // 10) * 104729 + rep * (pos // 10) * 1299709 + 1) + pos % 10) % n as src from cal, range(50) t(rep)),
