@@ -118,6 +118,6 @@ def _starts(g: dict[str, np.ndarray], profile: Profile, unit: float, every: int)
     return {"entity": np.full(len(got), g["entity"][0], object), "start": g["day"][firsts], "outcome": np.array(outcome, object), "days": np.array(days), "balance": np.array(balance), "room": np.array(room)}
 
 
-def rolling_accounts(days: DataFrame, profile: Profile = Profile(), unit: float = 500.0, every: int = 5) -> DataFrame:  # noqa: B008
+def rolling_accounts(days: DataFrame, profile: Profile = Profile(), unit: float = 500.0, every: int = 1) -> DataFrame:  # noqa: B008
     """An evaluation started at every ``every``-th day of each entity's dense stream (entity, day, r)."""
     return by_group(days.select("entity", "day", "r"), partial(_starts, profile=profile, unit=unit, every=every), STARTS, keys=("entity",), order=("day",))
