@@ -45,7 +45,7 @@ def frame(spark, sets):
 
 
 def test_against_brute_force(spark):
-    for seed, options in ((1, {}), (2, {"rare_df": 2, "skew": 0}), (3, {"rare_df": 8, "skew": 1})):
+    for seed, options in ((1, {}), (2, {"often": 2}), (3, {"often": 8, "part": 3}), (5, {"often": 0, "short": 1}), (6, {"often": 20, "short": 4, "part": 2})):
         sets = make(seed)
         got = [(r.left_id, r.right_id) for r in setjoin.similar_pairs(frame(spark, sets), **options).collect()]
         assert len(got) == len(set(got))
@@ -58,13 +58,31 @@ def test_counts_without_expanding_copies(spark):
     for a, b in brute(sets):
         want[a] += 1
         want[b] += 1
-    assert {r.id: r.links for r in setjoin.similar_counts(frame(spark, sets), rare_df=4).collect()} == want
+    assert {r.id: r.links for r in setjoin.similar_counts(frame(spark, sets), often=4).collect()} == want
+
+
+def test_class_pairs_and_membership(spark):
+    sets = make(7)
+    pairs, members = setjoin.class_pairs(frame(spark, sets), often=4)
+    head = dict(tuple(r) for r in members.collect())
+    assert head == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {(r.left_id, r.right_id) for r in pairs.collect()} == {(min(head[a], head[b]), max(head[a], head[b])) for a, b in brute(sets) if head[a] != head[b]}
+
+
+def test_sets_of_hundreds_of_frequent_tokens(spark):
+    rng = random.Random(8)
+    sets = {f"d{i:04d}": set(rng.sample(range(400), 200)) | {1000 + 40 * i + j for j in range(40)} for i in range(600)}
+    for i in range(0, 600, 60):  # a near copy each and a subset
+        near = sorted(sets[f"d{i:04d}"])
+        sets[f"e{i:04d}"], sets[f"f{i:04d}"] = set(near[6:]), set(near[::3])
+    got = {(r.left_id, r.right_id) for r in setjoin.similar_pairs(frame(spark, sets)).collect()}
+    assert got == brute(sets)
 
 
 def test_odd_rows(spark):
     rows = [("a", 1), ("a", 1), ("b", 1), (None, 1), ("c", None), ("d", 2)]
     assert [tuple(r) for r in setjoin.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [("a", "b")]
     assert setjoin.similar_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert setjoin.similar_pairs(spark.createDataFrame([("a", 1)], SCHEMA), jaccard=Fraction(1, 2)).count() == 0
+    assert setjoin.similar_pairs(spark.createDataFrame([("a", 1)], SCHEMA), jaccard=Fraction(3, 5)).count() == 0
     cands = spark.createDataFrame([("a", [1, None, 3], [1, 1]), ("b", None, [1]), (None, [1], [1]), ("c", [], []), ("a", [1], [-1])], "candidate_id string, entry_indices array<int>, trade_sides array<tinyint>")
     assert sorted(tuple(r) for r in setjoin.entry_tokens(cands).collect()) == [("a", 256 - 1 + 128), ("a", 256 + 1 + 128)]

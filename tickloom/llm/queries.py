@@ -37,6 +37,26 @@ def p2_link_counts(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.similar_counts(setjoin.entry_tokens(table(spark, folder, "candidates"))).select(F.col("id").alias("candidate_id"), "links")
 
 
+P2_CLASSES = P2_PAIRS + """,
+sets as (select candidate_id, list(e * 256 + s + 128 order by e * 256 + s) as tokens from e group by 1),
+heads as (select candidate_id, min(candidate_id) over (partition by tokens) as representative from sets)
+"""
+
+
+@REGISTRY.add("p2_class_pairs", P2_CLASSES + """
+select distinct least(a.representative, b.representative) as left_id, greatest(a.representative, b.representative) as right_id
+from p2 join heads a on a.candidate_id = left_id join heads b on b.candidate_id = right_id where a.representative <> b.representative
+""")
+def p2_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Similar sets once each, by the least id that holds them; copies are in p2_classes."""
+    return setjoin.class_pairs(setjoin.entry_tokens(table(spark, folder, "candidates")))[0].select("left_id", "right_id")
+
+
+@REGISTRY.add("p2_classes", P2_CLASSES + "select candidate_id, representative from heads")
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.class_pairs(setjoin.entry_tokens(table(spark, folder, "candidates")))[1].select(F.col("id").alias("candidate_id"), "representative")
+
+
 P5_SQL = """
 with recursive blanks as (select chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288) as chars),
 links as (
