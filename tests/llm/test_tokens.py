@@ -29,7 +29,7 @@ def corpus():
 
 def test_ids_equal_the_library(spark, corpus):
     df = spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string").withColumns({"words": F.lit(1), "block": F.lit(2), "key": F.lit(3)})
-    got = {r.doc_id: r.ids for r in tokens.encode(df, block_bytes=2000).collect()}
+    got = {r.doc_id: r.ids for r in tokens.encode(df, block_words=300).collect()}
     assert got == dict(enumerate(expected(corpus)))
     assert {r.doc_id: r.n_tokens for r in tokens.token_counts(df).collect()} == {i: len(x) for i, x in got.items()}
 
