@@ -5,7 +5,8 @@ its neighbours and tells it to all of them, so x gets the arcs x -> m(u) of its
 Pruning: a vertex that nobody chose, itself included, drops out of the graph and hangs below
 the least of its arcs in a propagation forest; the other ends of its arcs become neighbours of
 that least one. Vertices shrink by at least half a round in practice, so the rounds are about
-logarithmic in the longest chain. When no edge is left, what never dropped out are the seeds,
+logarithmic in the longest chain. Ids are numbered in their order by one sort, and all rounds are on
+the numbers. When no edge is left, what never dropped out are the seeds,
 the least vertex of each group, and their ids flow down the forest, last round first.
 
 Scale: all groupings are minima or distinct pairs, combined before the shuffle. A vertex with
@@ -38,33 +39,48 @@ def meet(many: DataFrame, one: DataFrame, key: str, rows: int) -> DataFrame:
     return many.join(few, key).unionByName(many.join(few.select(key), key, "left_anti").join(one.where(~hot).drop("n"), key))
 
 
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers in the order of the ids (number, id), and edges (u, v) both ways by number."""
+    known = cut_lineage(pairs.distinct())
+    # a sort puts the ids into partitions by range, so these numbers have the ids' order
+    ids = cut_lineage(known.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).orderBy("id").withColumn("number", F.monotonically_increasing_id()))
+    rows = 2 * known.count()
+    one = lambda end, to: ids.select(F.col("id").alias(end), F.col("number").alias(to), "n")
+    named = meet(meet(known, one("a", "u"), "a", rows), one("b", "v"), "b", rows).select("u", "v")
+    both = named.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
+    return ids.select("number", "id"), cut_lineage(both)
+
+
 def linked_groups(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, group_id) of every id with a link; group_id is the least id of the group."""
-    both = pairs.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")).where("a <> b and a <> '' and b <> ''")
-    edges = cut_lineage(both.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).distinct())
-    forest: list[DataFrame] = []
-    while rows := edges.count():
+    ids, edges = _numbered(pairs.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")).where("a <> b and a <> '' and b <> ''"))
+    forest: list[tuple[DataFrame, int]] = []
+    rows = edges.count()
+    while rows:
         least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         arcs = cut_lineage(meet(edges, least, "u", rows).select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).distinct())
         chosen = arcs.groupBy("x").agg(F.min("y").alias("low"), F.max(F.col("x") == F.col("y")).alias("stays"), F.count("*").alias("n"))
         onward = meet(arcs, chosen.drop("stays"), "x", rows).where("y <> low").select(F.explode(F.array(F.struct(F.col("y").alias("a"), F.col("low").alias("b")), F.struct(F.col("low").alias("a"), F.col("y").alias("b")))).alias("e")).select(F.lit(True).alias("edge"), "e.a", "e.b").distinct()
         dropped = chosen.where("not stays").select(F.lit(False).alias("edge"), F.col("low").alias("a"), F.col("x").alias("b"))
         step = cut_lineage(onward.unionByName(dropped))
-        forest.append(step.where("not edge").select(F.col("a").alias("parent"), F.col("b").alias("child")))
-        edges = step.where("edge").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sizes = {r.edge: r.n for r in step.groupBy("edge").agg(F.count("*").alias("n")).collect()}  # at most two rows
+        forest.append((step.where("not edge").select(F.col("a").alias("parent"), F.col("b").alias("child")), sizes.get(False, 0)))
+        edges, rows = step.where("edge").select(F.col("a").alias("u"), F.col("b").alias("v")), sizes.get(True, 0)
     if not forest:
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
-    hung = forest[0]
-    for tree in forest[1:]:
+        return ids.select("id", F.col("id").alias("group_id"))
+    hung = forest[0][0]
+    for tree, _ in forest[1:]:
         hung = hung.unionByName(tree)
     seeds = hung.select("parent").distinct().join(hung.select(F.col("child").alias("parent")), "parent", "left_anti")
-    labels = cut_lineage(seeds.select(F.col("parent").alias("id"), F.col("parent").alias("group_id")))
-    for tree in reversed(forest):
+    labels = cut_lineage(seeds.select(F.col("parent").alias("x"), F.col("parent").alias("seed")))
+    for tree, size in reversed(forest):
+        # each level's labels are written once; it reads those of the vertices that were left after its round
         children = tree.groupBy("parent").agg(F.count("*").alias("n"))
-        known = labels.withColumnRenamed("id", "parent").join(children, "parent")
-        size = tree.count()
-        labels = cut_lineage(labels.unionByName(meet(tree, known, "parent", size).select(F.col("child").alias("id"), "group_id")))
-    return labels
+        known = labels.withColumnRenamed("x", "parent").join(children, "parent")
+        labels = labels.unionByName(cut_lineage(meet(tree, known, "parent", size).select(F.col("child").alias("x"), "seed")))
+    heads = labels.groupBy("seed").agg(F.count("*").alias("n")).join(ids.withColumnsRenamed({"number": "seed", "id": "group_id"}), "seed")
+    total = sum(n for _, n in forest)
+    return meet(labels, heads, "seed", total).join(ids.withColumnRenamed("number", "x"), "x").select("id", "group_id")
 
 
 def reported_links(search_trace: DataFrame, pair_similarities: DataFrame) -> DataFrame:
