@@ -32,7 +32,7 @@ def test_every_part_is_in_a_window():
     text = " ".join(f"w{chr(97 + i % 26)}o{chr(97 + i // 26)}rd" for i in range(300))
     joined = " ".join(x.windows(text))
     assert all(w in joined for w in text.split())
-    assert x.windows(None) == [] and x.windows("ok") == []
+    assert x.windows(None) == [] and x.windows("?") == [] and x.windows("die scum") == ["die scum"]
 
 
 def test_held_out_accuracy(spark):
@@ -49,6 +49,16 @@ def test_held_out_accuracy(spark):
     assert not got[9001].flagged and got[9001].score == 0 and not got[9002].flagged and not got[9003].flagged
 
 
+def test_short_texts_and_lines_count(spark):
+    rng = random.Random(13)
+    lines = ["good catch", "ship it", "hold on", "no idea why", "same here", "makes sense"]
+    docs = [(i, "\n".join(rng.sample(lines, 3) + (["you moron"] if i % 8 == 0 else [])), "s1") for i in range(800)] + [(900, "you moron", "s1"), (901, "ship it", "s1")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "abusive" if i % 8 == 0 else "clean", "r", None) for i in range(400)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
+    flagged = {r.doc_id for r in x.scores(d, x.train(d, labels)).where("flagged").collect()}
+    assert flagged == {i for i in range(800) if i % 8 == 0} | {900}
+
+
 def test_without_labels(spark):
     docs, _ = corpus(3, 20)
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
