@@ -21,6 +21,25 @@ def test_plan_bisects_to_the_repetition_limit():
     assert m.plan({}, targets).budgets == {} and m.plan({"a": 5}, targets).budgets == {"a": 5.0}
 
 
+def test_tempered_bisects_to_entropy_or_limit():
+    sizes, targets = {"a": 900, "b": 90, "c": 10}, {"a": (0.5, 3), "b": (0.3, 3), "c": (0.2, 3)}
+    free = m.tempered(sizes, targets, total=100)
+    goal = m.entropy([0.5, 0.3, 0.2])
+    assert abs(m.entropy(m._normal(list(free.budgets.values()))) - goal) < 1e-6 and 0 < free.exponent < 1
+    tight = m.tempered(sizes, targets)
+    assert free.exponent < tight.exponent < 1 and tight.total == 1000
+    assert math.isclose(sum(tight.budgets.values()), 1000, rel_tol=1e-9) and math.isclose(tight.budgets["c"], 30, rel_tol=1e-6)
+
+
+def test_tempered_mixture_uses_the_whole_total(spark):
+    docs, targets = build(spark)
+    uses, plan, sized = m.mixture(docs, targets, way=m.tempered)
+    got = {r.source: r for r in m.reached(uses, plan, sized, targets).collect()}
+    assert sum(r.mixed_tokens for r in got.values()) > 0.97 * plan.total
+    for r in got.values():
+        assert r.most_uses <= r.max_repeats and abs(r.mixed_tokens - r.budget) <= 60
+
+
 def build(spark, seed=1, n=400):
     rng = random.Random(seed)
     names = ["desk_chat", "Desk-Chat ", "DESK_CHAT", "wiki", "unlisted", None, "rare"]

@@ -1,11 +1,15 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
-Plain temperature mixing takes shares p_i ** a / sum and bisects the exponent a until the shares
-have a wanted entropy (``entropy_exponent``). One exponent cannot give every source a share of its
-own, so the mixture goes along the path from the sources' own token shares p to the targets t,
-w_i(a) = p_i ** (1 - a) * t_i ** a / sum, and bisects a for the largest one at which no source needs
-more than its repetition limit. Without a wanted total, the total is the largest at which the
-targets themselves (a = 1) keep all limits.
+Two ways to weights share everything else:
+
+    * ``tempered``: shares p_i ** a / sum of the sources' own token shares p, where a is bisected
+      until the shares have the wanted entropy (that of the targets if none is given) and then, if a
+      source would need more than its repetition limit, further towards 1 until none does. The
+      total is that of all available tokens unless another is given.
+    * ``plan``: one exponent cannot give every source a share of its own, as targets ask, so the
+      mixture goes along the path from p to the targets t, w_i(a) = p_i ** (1 - a) * t_i ** a / sum,
+      and bisects a for the largest one at which no source needs more than its limit. Without a
+      wanted total, the total is the largest at which the targets themselves (a = 1) keep all limits.
 
 A source's budget is its weight times the total. Its documents are in a fixed random order, by a
 hash, in blocks of about ``BLOCK_DOCUMENTS``. Whole passes over the source come first; of the last pass the blocks
@@ -68,7 +72,7 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: fl
     if not names:
         return Plan(1.0, 0.0, {})
     wanted, own = _normal([targets[s][0] for s in names]), _normal([float(sizes[s]) for s in names])
-    limit = [sizes[s] * targets[s][1] for s in names]
+    limit = [float(sizes[s] * targets[s][1]) for s in names]
     weights = lambda a: _normal([p ** (1 - a) * t**a for p, t in zip(own, wanted, strict=True)])
     if total is None:
         total = min(m / w for m, w in zip(limit, wanted, strict=True))
@@ -83,6 +87,27 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: fl
     return Plan(low, total, {s: min(w * total, m) for s, w, m in zip(names, weights(low), limit, strict=True)})
 
 
+def tempered(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None, goal: float | None = None, rounds: int = 80) -> Plan:
+    """Budgets of tempered own shares: the exponent of the entropy ``goal``, or the nearest one to it at which all limits hold."""
+    names = sorted(s for s in targets if sizes.get(s, 0) > 0)
+    if not names:
+        return Plan(1.0, 0.0, {})
+    own, limit = _normal([float(sizes[s]) for s in names]), [float(sizes[s] * targets[s][1]) for s in names]
+    total = float(sum(sizes[s] for s in names)) if total is None else total
+    weights = lambda a: _normal([p**a for p in own])
+    fits = lambda a: all(w * total <= m * (1 + 1e-12) for w, m in zip(weights(a), limit, strict=True))
+    wanted = entropy_exponent(own, entropy(_normal([targets[s][0] for s in names])) if goal is None else goal)
+    exponent = wanted
+    if not fits(wanted):
+        # a = 1 keeps the sources' own shares, which all limits allow up to all available tokens
+        far, near = wanted, 1.0
+        for _ in range(rounds):
+            middle = (far + near) / 2
+            far, near = (far, middle) if fits(middle) else (middle, near)
+        exponent = near
+    return Plan(exponent, total, {s: min(w * total, m) for s, w, m in zip(names, weights(exponent), limit, strict=True)})
+
+
 def listed_targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
     """The target table, one row for each source, under the spelling of ``source_name``."""
     rows = mix_targets.select(source_name().alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("times"))
@@ -122,12 +147,12 @@ def realise(sized: DataFrame, planned: Plan, seed: int = 7) -> DataFrame:
     return used.where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
 
 
-def mixture(documents: DataFrame, mix_targets: DataFrame, *, total: float | None = None, seed: int = 7, **options) -> tuple[DataFrame, Plan, DataFrame]:
-    """(uses of documents, the plan, sized documents)."""
+def mixture(documents: DataFrame, mix_targets: DataFrame, *, total: float | None = None, seed: int = 7, way=plan, **options) -> tuple[DataFrame, Plan, DataFrame]:
+    """(uses of documents, the plan, sized documents); ``way`` is ``plan`` or ``tempered``."""
     targets = listed_targets(mix_targets)
     sized = sized_documents(documents, targets, **options)
     sizes = {r.source: r.size for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("size")).collect()}
-    planned = plan(sizes, targets, total)
+    planned = way(sizes, targets, total)
     return realise(sized, planned, seed), planned, sized
 
 

@@ -122,14 +122,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.reached(*mixture.mixture(table(spark, folder, "documents"), targets), targets)
 
 
+@REGISTRY.add("p7_tempered_mixture")
+def p7_tempered_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as there are, in tempered own shares with the entropy of the targets or as near as the limits allow."""
+    uses, _, _ = mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), way=mixture.tempered)
+    return mixture.spread(uses)
+
+
 @REGISTRY.add("p7_temperature")
 def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
-    """Plain temperature shares whose entropy is that of the targets, for comparison."""
-    targets = mixture.listed_targets(table(spark, folder, "mix_targets"))
-    sized = mixture.sized_documents(table(spark, folder, "documents"), targets)
-    sizes = {r.source: r.size for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("size")).collect()}
-    names, total = sorted(sizes), sum(sizes.values())
-    own = [sizes[s] / total for s in names]
-    exponent = mixture.entropy_exponent(own, mixture.entropy([targets[s][0] for s in names])) if names else 1.0
-    weight = sum(p**exponent for p in own)
-    return spark.createDataFrame([(s, p, p**exponent / weight, exponent, targets[s][0]) for s, p in zip(names, own, strict=True)], "source string, own_share double, tempered_share double, exponent double, target_share double")
+    """The shares that tempered mixing reaches, and the exponent it takes."""
+    targets = table(spark, folder, "mix_targets")
+    return mixture.reached(*mixture.mixture(table(spark, folder, "documents"), targets, way=mixture.tempered), targets)
