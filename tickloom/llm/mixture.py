@@ -5,7 +5,7 @@ Two ways to weights share everything else:
     * ``tempered``: shares p_i ** a / sum of the sources' own token shares p, where a is bisected
       until the shares have the wanted entropy (that of the targets if none is given) and then, if a
       source would need more than its repetition limit, further towards 1 until none does. The
-      total is that of all available tokens unless another is given.
+      total is ``part`` of the available tokens (all of them by default) unless another is given.
     * ``plan``: one exponent cannot give every source a share of its own, as targets ask, so the
       mixture goes along the path from p to the targets t, w_i(a) = p_i ** (1 - a) * t_i ** a / sum,
       and bisects a for the largest one at which no source needs more than its limit. Without a
@@ -87,13 +87,13 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: fl
     return Plan(low, total, {s: min(w * total, m) for s, w, m in zip(names, weights(low), limit, strict=True)})
 
 
-def tempered(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None, goal: float | None = None, rounds: int = 80) -> Plan:
+def tempered(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None, goal: float | None = None, part: float = 1.0, rounds: int = 80) -> Plan:
     """Budgets of tempered own shares: the exponent of the entropy ``goal``, or the nearest one to it at which all limits hold."""
     names = sorted(s for s in targets if sizes.get(s, 0) > 0)
     if not names:
         return Plan(1.0, 0.0, {})
     own, limit = _normal([float(sizes[s]) for s in names]), [float(sizes[s] * targets[s][1]) for s in names]
-    total = float(sum(sizes[s] for s in names)) if total is None else total
+    total = part * sum(sizes[s] for s in names) if total is None else total
     weights = lambda a: _normal([p**a for p in own])
     fits = lambda a: all(w * total <= m * (1 + 1e-12) for w, m in zip(weights(a), limit, strict=True))
     wanted = entropy_exponent(own, entropy(_normal([targets[s][0] for s in names])) if goal is None else goal)

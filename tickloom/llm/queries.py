@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,8 +126,9 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.add("p7_tempered_mixture")
 def p7_tempered_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """As many tokens as there are, in tempered own shares with the entropy of the targets or as near as the limits allow."""
-    uses, _, _ = mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), way=mixture.tempered)
+    """Half as many tokens as there are, in tempered own shares with the entropy of the targets or as near as the limits
+    allow. (Of all tokens, sources used once at most leave only the own shares.)"""
+    uses, _, _ = mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), way=partial(mixture.tempered, part=0.5))
     return mixture.spread(uses)
 
 
@@ -133,4 +136,4 @@ def p7_tempered_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
     """The shares that tempered mixing reaches, and the exponent it takes."""
     targets = table(spark, folder, "mix_targets")
-    return mixture.reached(*mixture.mixture(table(spark, folder, "documents"), targets, way=mixture.tempered), targets)
+    return mixture.reached(*mixture.mixture(table(spark, folder, "documents"), targets, way=partial(mixture.tempered, part=0.5)), targets)
