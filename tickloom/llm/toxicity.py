@@ -101,7 +101,7 @@ def _pieces(sentence: str) -> tuple[str, ...]:
         at = space + 1 if space >= 0 else at + PIECE // 2
 
 
-_known_pieces = lru_cache(20_000)(_pieces)  # of sentences that recur
+_known_pieces = lru_cache(60_000)(_pieces)  # of sentences that recur
 
 
 def windows(text: str | None) -> list[str]:
@@ -259,13 +259,23 @@ def background(documents: DataFrame, fitted: Iterable[int], grams: Iterable[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_out, number = shared.value
+        met: dict[str, list[int]] = {}  # of windows that recur
+
+        def numbers(window: str) -> list[int]:
+            got = met.get(window)
+            if got is None:
+                got = [number[g] for g in _grams(window) if g in number]
+                if len(met) < 60_000:
+                    met[window] = got
+            return got
+
         for batch in batches:
             copies, held = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i not in left_out:
                     ws = windows(text)
                     copies.append(int.from_bytes(blake2b("\n".join(ws).encode(), digest_size=8).digest(), "big", signed=True))
-                    held.append([-1, *{number[g] for w in ws for g in _grams(w) if g in number}])  # -1 counts the texts
+                    held.append([-1, *{k for w in ws for k in numbers(w)}])  # -1 counts the texts
             yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(held, pa.list_(pa.int32()))], names=["copy", "held"])
 
     texts = documents.where("text is not null").select("doc_id", "text").mapInArrow(run, "copy bigint, held array<int>").groupBy("copy").agg(F.first("held").alias("held"))
