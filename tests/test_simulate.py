@@ -64,12 +64,79 @@ def test_metrics(spark):
 def test_outcomes_rising_market():
     n = 60
     c = 1000.0 + np.arange(n)
-    g = {"instrument": np.full(n, "A", object), "sday": np.zeros(n, int), "tmin": np.arange(n), "o": np.r_[c[0], c[:-1]], "h": c + 0.25, "l": np.r_[c[0], c[:-1]] - 0.25, "c": c, "is_dec": np.arange(n) < n - 1, "scale": np.full(n, 1.0), "tick": np.full(n, 0.25)}
+    g = {"instrument": np.full(n, "A", object), "sday": np.zeros(n, int), "tmin": np.arange(n), "o": np.r_[c[0], c[:-1]], "h": c + 0.25, "l": np.r_[c[0], c[:-1]] - 0.25, "c": c, "is_dec": np.arange(n) < n - 1, "scale": np.full(n, 1.0), "tick": np.full(n, 0.25), "sm": 930 + np.arange(n)}
     out = s.first_exits(g, tuple(e for e in s.EXITS if e[0] == "S1_T15"))
     long = {t: (p, e) for t, p, e, d in zip(out["tmin"], out["pnl"], out["exit_tmin"], out["dir"], strict=True) if d == 1}
     assert long[10] == (15.0, 25) and long[57] == (2.0, 59)
 
 
+def brute_exit(g, t, multiple, hold, target, side):
+    """One entry, bar by bar, from the rules alone."""
+    n, e = len(g["tmin"]), t + 1
+    tick = g["tick"][t]
+    stop = np.ceil(multiple * np.sqrt(10) * g["scale"][t] / tick - 1e-9) * tick
+    price = g["o"][e]
+    floor, goal = price - side * stop, price + side * stop * (target or 0)
+    for i in range(e, n):
+        o, low, high = g["o"][i], *((g["l"][i], g["h"][i]) if side > 0 else (g["h"][i], g["l"][i]))
+        stopped, won = side * (low - floor) <= 0, bool(target) and side * (high - goal) >= tick
+        if stopped or won:
+            if i > e and side * (o - floor) <= 0:
+                return side * (o - price), i, "gap_stop"
+            if i > e and target and side * (o - goal) >= tick:
+                return side * (goal - price), i, "target"
+            return (side * (floor - price), i, "stop") if stopped else (side * (goal - price), i, "target")
+        if hold and g["tmin"][i] - g["tmin"][e] >= hold - 1:
+            return side * (g["c"][i] - price), i, "time"
+        if i == n - 1 or g["sm"][i + 1] >= 1320 or g["sm"][i] >= 1320:
+            return side * (g["c"][i] - price), i, "flat"
+
+
+def test_outcomes_against_a_bar_by_bar_loop():
+    rng = np.random.default_rng(3)
+    for start in (930, 1290):
+        n = 90
+        t = np.cumsum(rng.integers(1, 3, n))
+        c = 100 + np.cumsum(rng.integers(-4, 5, n)) * 0.25
+        o = c + rng.integers(-6, 7, n) * 0.25
+        g = {"instrument": np.full(n, "A", object), "sday": np.zeros(n, int), "tmin": t, "o": o, "h": np.maximum(o, c) + rng.integers(0, 4, n) * 0.25, "l": np.minimum(o, c) - rng.integers(0, 4, n) * 0.25, "c": c, "is_dec": rng.random(n) < 0.8, "scale": np.where(rng.random(n) < 0.1, np.nan, rng.random(n)), "tick": np.full(n, 0.25), "sm": start + t}
+        out = s.first_exits(g, rows_at_once=7)
+        got = {(a, b, d): (p, e, w) for a, b, d, p, e, w in zip(out["tmin"], out["exit_id"], out["dir"], out["pnl"], out["exit_tmin"], out["reason"], strict=True)}
+        seen = 0
+        for k in np.flatnonzero(g["is_dec"][:-1] & ~np.isnan(g["scale"][:-1])):
+            for name, multiple, hold, target in s.EXITS:
+                for side in (1, -1):
+                    if np.ceil(multiple * np.sqrt(10) * g["scale"][k] / 0.25 - 1e-9) < 1:
+                        continue
+                    pnl, i, why = brute_exit(g, k, multiple, hold, target, side)
+                    assert got[t[k], name, side] == (pnl, t[i], why)
+                    seen += 1
+        assert seen == len(got)
+
+
+def test_targets_need_a_tick_beyond_and_gaps_fill_at_the_limit():
+    t = one(FLAT, [100, 101, 101.25, 100], [100, 99.5, 100, 100], FLAT, [1, 0, 0, 0], target_r=1.0)
+    assert (t["r"], t["exit_tmin"], t["reason"]) == (1.0, 2, "target")
+    t = one([100, 100, 104, 104], [100, 100.5, 105, 105], [100, 99.5, 103, 103], [100, 100, 104, 104], [1, 0, 0, 0], target_r=2.0, partial_r=1.0)
+    assert (t["r"], t["exit_tmin"], t["reason"]) == (1.5, 2, "gap_target")
+    t = one([100, 100, 101.1, 101.1], [100, 100.5, 101.1, 101.1], [100, 99.5, 101, 101], [100, 100, 101, 101], [1, 0, 0, 0], target_r=1.0)
+    assert t["reason"] == "flat"  # 0.1 beyond is not a fill
+
+
+def test_flat_before_sixteen():
+    g = group([100.0] * 6, [100.2] * 6, [99.9] * 6, [100.0] * 6, [1, 0, 0, 0, 0, 0]) | {"sm": 1316 + np.arange(6)}
+    assert s.managed(g)["exit_tmin"].tolist() == [3]
+
+
+def test_spec_metrics(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", 1, 1.0, 2.0, 2011), ("a", 2, -1.5, 2.0, 2014), ("a", 3, 0.5, 1.0, 2020)], "k string, entry_tmin bigint, r double, risk double, y int")
+    r = s.spec_metrics(df, ["k"], cost=F.lit(0.2), stress=F.lit(0.4), year=F.col("y"), shadow=0.1).first()
+    assert (r.trades, r.active_years, r.trades_1, r.trades_2, r.trades_3) == (3, 3, 1, 1, 1)
+    assert np.allclose([r.net_r, r.stress_net_r, r.max_drawdown_r, r.profit_factor, r.matched_excess_r, r.net_r_2], [-0.4, -0.8, 1.6, 0.75, -0.4 / 3 - 0.1, -1.6])
+
+
 def test_recursions():
     x = np.array([np.nan, 1.0, np.nan, 3.0, 5.0])
     assert np.allclose(ewm(x, 3, 1), [np.nan, 1, 1, 2, 3.5], equal_nan=True)

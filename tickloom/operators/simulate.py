@@ -1,9 +1,11 @@
 """Trades on bars: exit outcomes of every decision bar, greedy selection, managed positions.
 
 Conventions: a signal at a bar's close enters at the next bar's open; a bar that touches stop and
-target stops (pessimistic); a gap through the stop fills at the open, but not on the entry bar;
-a target fills at its price; time exits at the close of the bar that ends the hold; a group's last
-bar is flat. Positions never leave their group of session and contract, so all is exact per group.
+target stops (pessimistic); a gap through the stop fills at the open, but not on the entry bar; a
+target is a limit order that fills at its price, and only if the bar trades at least one tick
+beyond it; time exits at the close of the bar that ends the hold; a position is flat at the close of
+the last bar before 16:00 and of its group's last bar. Positions never leave their group of session
+and contract, so all is exact per group.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.sequential import by_group
 
+#: 16:00 in session minutes.
+FLAT_SM = 1320
 #: (exit id, stop multiple, hold in minutes, target in R); the fixed 14 templates.
 EXITS = tuple((f"S{s}_{name}", float(s), hold, target) for s in (1, 2) for name, hold, target in (("T15", 15, None), ("T30", 30, None), ("T60", 60, None), ("T120", 120, None), ("EOD", None, None), ("R2", None, 2.0), ("R3", None, 3.0)))
 OUTCOME = "instrument string, sday int, tmin bigint, exit_id string, dir int, pnl double, exit_tmin bigint, reason string"
@@ -29,41 +33,67 @@ def stop_distance(raw: Column, tick: Column | float) -> Column:
     return F.when(d >= tick, d)
 
 
-def first_exits(g: dict[str, np.ndarray], exits: tuple = EXITS) -> dict[str, np.ndarray] | None:
-    """Every decision bar of a group with each exit and direction, all entries stepped together."""
+def first_where(hit: np.ndarray) -> np.ndarray:
+    """Column of the first true value in each row; the number of columns where there is none."""
+    at = hit.argmax(axis=1)
+    at[~hit[np.arange(len(at)), at]] = hit.shape[1]
+    return at
+
+
+def flat_bars(sm: np.ndarray, flat_sm: int = FLAT_SM) -> np.ndarray:
+    """Bars at whose close no position may be left: before or from the flat time, and the last."""
+    flat = np.asarray(sm) >= flat_sm
+    flat[:-1] |= flat[1:]
+    flat[-1] = True
+    return flat
+
+
+def first_exits(g: dict[str, np.ndarray], exits: tuple = EXITS, rows_at_once: int = 256) -> dict[str, np.ndarray] | None:
+    """Every decision bar of a group with each exit and direction.
+
+    The first bar that reaches a level is found once for each stop and each target, over all entries
+    together, and combined with the first flat bar and the bar that ends the hold, both by search.
+    """
     n = len(g["tmin"])
-    at = np.flatnonzero(g["is_dec"].astype(bool) & (np.arange(n) < n - 1) & ~np.isnan(g["scale"]))
-    if not len(at):
+    every = np.flatnonzero(g["is_dec"].astype(bool) & (np.arange(n) < n - 1) & ~np.isnan(g["scale"]))
+    if not len(every):
         return None
     o, h, l, c, t = (g[k] for k in ("o", "h", "l", "c", "tmin"))  # noqa: E741
-    entry, rows = at + 1, []
-    for name, multiple, hold, target in exits:
-        raw = multiple * math.sqrt(10) * g["scale"][at]
-        tick = g["tick"][at]
-        stop = np.ceil(raw / tick - 1e-9) * tick
-        valid = stop >= tick
-        for side in (1, -1):
-            price = o[entry]
-            floor, goal = price - side * stop, price + side * stop * (target or 0.0)
-            pnl, end, why = np.full(len(at), np.nan), np.full(len(at), -1, np.int64), np.full(len(at), "", object)
-            alive = valid.copy()
-            for k in range(n):
-                i = entry + k
-                alive &= i < n
-                if not alive.any():
-                    break
-                j = np.minimum(i, n - 1)
-                gapped = (side * (o[j] - floor) <= 0) & (k > 0)
-                low, high = (l, h) if side > 0 else (h, l)
-                hit = side * (low[j] - floor) <= 0
-                won = (side * (high[j] - goal) >= 0) if target else np.zeros(len(at), bool)
-                timed = (t[j] - t[entry] >= hold - 1) if hold else np.zeros(len(at), bool)
-                for mask, fill, label in ((gapped, o[j], "gap_stop"), (hit, floor, "stop"), (won, goal, "target"), (timed, c[j], "time"), (j == n - 1, c[j], "flat")):
-                    done = alive & mask
-                    pnl[done], end[done], why[done] = (side * (fill - price))[done], t[j][done], label
-                    alive &= ~done
-            keep = np.flatnonzero(valid & (end >= 0))
-            rows.append((name, side, at[keep], pnl[keep], end[keep], why[keep]))
+    flat_at = np.flatnonzero(flat_bars(np.nan_to_num(g["sm"])))
+    rows = []
+    for at in (every[i : i + rows_at_once] for i in range(0, len(every), rows_at_once)):
+        entry, first = at + 1, at[0] + 1
+        flat = flat_at[np.searchsorted(flat_at, entry)]
+        last = int(flat.max()) + 1
+        seen = np.arange(first, last)[None, :] >= entry[:, None]
+        low, high, tick, price = l[None, first:last], h[None, first:last], g["tick"][at], o[entry]
+        stops: dict[tuple, tuple] = {}
+        goals: dict[tuple, tuple] = {}
+        for name, multiple, hold, target in exits:
+            stop = np.ceil(multiple * math.sqrt(10) * g["scale"][at] / tick - 1e-9) * tick
+            timed = np.searchsorted(t, t[entry] + hold - 1) if hold else np.full(len(at), n)
+            for side in (1, -1):
+                adverse, good = (low, high) if side > 0 else (high, low)
+                if (multiple, side) not in stops:
+                    floor = price - side * stop
+                    stops[multiple, side] = floor, first + first_where(seen & (side * (adverse - floor[:, None]) <= 0))
+                floor, stopped = stops[multiple, side]
+                goal, won = np.full(len(at), np.nan), np.full(len(at), n)
+                if target:
+                    if (multiple, side, target) not in goals:
+                        goal = price + side * stop * target
+                        goals[multiple, side, target] = goal, first + first_where(seen & (side * (good - goal[:, None]) >= tick[:, None]))
+                    goal, won = goals[multiple, side, target]
+                close = np.minimum(timed, flat)
+                end = np.minimum(np.minimum(stopped, won), close)
+                opened, later = o[end], end > entry
+                gap = later & (side * (opened - floor) <= 0)
+                gap_won = later & (won == end) & (side * (opened - goal) >= tick)
+                cases = [gap, gap_won, stopped == end, won == end, timed == end]
+                fill = np.select(cases, [opened, goal, floor, goal, c[end]], c[end])
+                why = np.select(cases, ["gap_stop", "target", "stop", "target", "time"], "flat").astype(object)
+                keep = np.flatnonzero(stop >= tick)
+                rows.append((name, side, at[keep], (side * (fill - price))[keep], t[end][keep], why[keep]))
     idx = np.concatenate([r[2] for r in rows])
     return {
         "instrument": g["instrument"][idx], "sday": g["sday"][idx], "tmin": t[idx], "exit_id": np.concatenate([np.full(len(r[2]), r[0], object) for r in rows]),
@@ -73,7 +103,7 @@ def first_exits(g: dict[str, np.ndarray], exits: tuple = EXITS) -> dict[str, np.
 
 def outcomes(bars: DataFrame, exits: tuple = EXITS) -> DataFrame:
     """``bars`` with is_dec, scale and tick; one row for each (decision bar, exit, direction)."""
-    return by_group(bars.select("instrument", "sday", "seg", "tmin", "o", "h", "l", "c", "is_dec", "scale", "tick"), partial(first_exits, exits=exits), OUTCOME)
+    return by_group(bars.select("instrument", "sday", "seg", "tmin", "sm", "o", "h", "l", "c", "is_dec", "scale", "tick"), partial(first_exits, exits=exits), OUTCOME)
 
 
 def greedy(events: DataFrame, keys: list[str], start: str = "tmin", end: str = "exit_tmin", keep: tuple[str, ...] = ("pnl",)) -> DataFrame:
@@ -94,57 +124,62 @@ def greedy(events: DataFrame, keys: list[str], start: str = "tmin", end: str = "
     return grouped.select(*keys, F.posexplode(taken).alias("trade_no", "x")).select(*keys, "trade_no", F.col("x.t").alias(start), F.col("x.e").alias(end), *[F.col(f"x.{k}").alias(k) for k in keep])
 
 
-MANAGED = "instrument string, sday int, entry_tmin bigint, exit_tmin bigint, side int, risk double, r double, reason string, mae double, mfe double"
+MANAGED = "template string, instrument string, sday int, entry_tmin bigint, exit_tmin bigint, side int, risk double, r double, reason string, mae double, mfe double"
+#: The management templates: break-even, partial, trailing and target in R, the hold in minutes.
+TEMPLATES = {"target": {"target_r": 2.0, "hold": 60}, "breakeven": {"target_r": 3.0, "breakeven_r": 1.0}, "partial": {"partial_r": 1.0, "target_r": 2.0}, "trail": {"trail_r": 1.5, "hold": 120}}
 
 
 def managed(g: dict[str, np.ndarray], *, target_r: float | None = None, hold: int | None = None, breakeven_r: float | None = None, partial_r: float | None = None, trail_r: float | None = None, through: float = 0.25, least_risk: float = 0.25, mechanism: bool = False) -> dict[str, np.ndarray] | None:
     """Positions of one group from ``signal`` (-1, 0, 1 at a bar's close) and ``risk`` (stop distance).
 
-    At each bar, in this order: mechanism exit at the open if the last completed signal is not the
-    side; gap stop and gap target at the open; gap partial; stop; partial (``through`` beyond its price);
-    target; hold or last bar at the close. Break-even and trailing move the stop from the next bar on.
-    A later signal is taken only if its entry bar is after the last exit bar.
+    At each bar, in this order: mechanism exit at the open if the last completed ``state`` (the signal
+    if there is none) is not the side; gap stop, gap target and gap partial at the open (limit orders
+    need ``through`` beyond their price, at the open as inside a bar); stop; partial; target; hold or
+    flat bar at the close. Break-even and trailing move the stop from the next bar on; once on, a trail
+    stays on. A later signal is taken only if its entry bar is after the last exit bar.
     """
     o, h, l, c, t = (g[k].tolist() for k in ("o", "h", "l", "c", "tmin"))  # noqa: E741
     signal, risks, n, busy, rows = g["signal"].tolist(), g["risk"].tolist(), len(t), -1, []
-    for s in range(n - 1):
+    state = g["state"].tolist() if "state" in g else signal
+    flat = flat_bars(np.nan_to_num(g["sm"])).tolist() if "sm" in g else [False] * (n - 1) + [True]
+    for s in np.flatnonzero(np.nan_to_num(g["signal"][:-1])).tolist():
         side, risk, e = signal[s], risks[s], s + 1
-        if not side or side != side or not risk >= least_risk or e <= busy:
+        if not risk >= least_risk or e <= busy:
             continue
         price = o[e]
         stop, goal = price - side * risk, None if target_r is None else price + side * risk * target_r
         part = None if partial_r is None else price + side * risk * partial_r
-        units, banked, best, worst = (2 if part is not None else 1), 0.0, price, price
-        size = units
+        size = 1 if part is None else 2
+        units, banked, best, worst, trailing = size, 0.0, price, price, False
         for i in range(e, n):
             done = why = None
-            if mechanism and i > e and signal[i - 1] != side:
+            low, high = (l[i], h[i]) if side > 0 else (h[i], l[i])
+            beyond = lambda at, order: order is not None and side * (at - order) >= through
+            if i > e and mechanism and state[i - 1] != side:
                 done, why = o[i], "mechanism"
             elif i > e and side * (o[i] - stop) <= 0:
                 done, why = o[i], "gap_stop"
-            elif i > e and goal is not None and side * (o[i] - goal) >= 0:
-                if part is not None and units == size:
-                    banked, units = banked + side * (part - price), units - 1
-                done, why = goal, "gap_target"
             else:
-                if i > e and part is not None and units == size and side * (o[i] - part) >= 0:
+                if i > e and units == size and part is not None and (beyond(o[i], goal) or beyond(o[i], part)):
                     banked, units = banked + side * (part - price), units - 1
-                low, high = (l[i], h[i]) if side > 0 else (h[i], l[i])
-                if side * (low - stop) <= 0:
+                if i > e and beyond(o[i], goal):
+                    done, why = goal, "gap_target"
+                elif side * (low - stop) <= 0:
                     done, why = stop, "stop"
                 else:
-                    if part is not None and units == size and side * (high - part) >= through:
+                    if units == size and beyond(high, part):
                         banked, units = banked + side * (part - price), units - 1
-                    if goal is not None and side * (high - goal) >= through:
+                    if beyond(high, goal):
                         done, why = goal, "target"
-                    elif (hold is not None and t[i] - t[e] >= hold - 1) or i == n - 1:
-                        done, why = c[i], "time" if i < n - 1 else "flat"
+                    elif flat[i] or (hold is not None and t[i] - t[e] >= hold - 1):
+                        done, why = c[i], "flat" if flat[i] else "time"
             if done is None:
-                low, high = (l[i], h[i]) if side > 0 else (h[i], l[i])
                 best, worst = (max(best, high), min(worst, low)) if side > 0 else (min(best, high), max(worst, low))
-                if breakeven_r is not None and side * (best - price) >= breakeven_r * risk:
+                gained = side * (best - price) / risk
+                if breakeven_r is not None and gained >= breakeven_r:
                     stop = max(stop, price) if side > 0 else min(stop, price)
-                if trail_r is not None and side * (best - price) >= trail_r * risk:
+                trailing = trailing or (trail_r is not None and gained >= trail_r)
+                if trailing:
                     moved = best - side * trail_r * risk
                     stop = max(stop, moved) if side > 0 else min(stop, moved)
                 continue
@@ -162,9 +197,34 @@ def managed(g: dict[str, np.ndarray], *, target_r: float | None = None, hold: in
     return out | {"instrument": np.full(len(rows), g["instrument"][0], object), "sday": np.full(len(rows), g["sday"][0])}
 
 
-def managed_trades(bars: DataFrame, **template) -> DataFrame:
-    """``bars`` with signal and risk; trades under one management template."""
-    return by_group(bars.select("instrument", "sday", "seg", "tmin", "o", "h", "l", "c", "signal", "risk"), partial(managed, **template), MANAGED)
+def managed_all(g: dict[str, np.ndarray], templates: dict[str, dict]) -> dict[str, np.ndarray] | None:
+    made = [(name, got) for name, template in templates.items() if (got := managed(g, **template)) is not None]
+    if not made:
+        return None
+    out = {k: np.concatenate([got[k] for _, got in made]) for k in made[0][1]}
+    return out | {"template": np.concatenate([np.full(len(got["r"]), name, object) for name, got in made])}
+
+
+def managed_trades(bars: DataFrame, templates: dict[str, dict] = TEMPLATES) -> DataFrame:
+    """``bars`` with signal and risk (and state, for mechanism exits); the trades of all templates from one pass."""
+    extra = ["state"] if "state" in bars.columns else []
+    return by_group(bars.select("instrument", "sday", "seg", "tmin", "sm", "o", "h", "l", "c", "signal", "risk", *extra), partial(managed_all, templates=templates), MANAGED)
+
+
+def spec_metrics(trades: DataFrame, keys: list[str], *, cost: Column, stress: Column, year: Column, shadow: Column | float = 0.0, periods: tuple[int, int] = (2012, 2015)) -> DataFrame:
+    """The evaluator's figures of each key's trades (r, risk, entry_tmin): net and stress R after costs in
+    points, expectancy, profit factor (NULL without losses), drawdown, active years, sums and counts
+    of three periods of years, and the mean excess over a shadow R."""
+    order = Window.partitionBy(*keys).orderBy("entry_tmin").rowsBetween(Window.unboundedPreceding, 0)
+    net = trades.withColumns({"_net": F.col("r") - cost / F.col("risk"), "_stress": F.col("r") - stress / F.col("risk"), "_year": year, "_shadow": F.lit(shadow) if isinstance(shadow, float) else shadow})
+    eq = net.withColumn("_eq", F.sum("_net").over(order)).withColumn("_dd", F.greatest(F.max("_eq").over(order), F.lit(0.0)) - F.col("_eq"))
+    period = F.when(F.col("_year") <= periods[0], 1).when(F.col("_year") <= periods[1], 2).otherwise(3)
+    gain, loss = F.sum(F.greatest("_net", F.lit(0.0))), F.sum(F.greatest(-F.col("_net"), F.lit(0.0)))
+    parts = [x for k in (1, 2, 3) for x in (F.sum(F.when(period == k, F.col("_net")).otherwise(0.0)).alias(f"net_r_{k}"), F.sum((period == k).cast("bigint")).alias(f"trades_{k}"))]
+    return eq.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.sum("_net").alias("net_r"), F.sum("_stress").alias("stress_net_r"), F.avg("_net").alias("expectancy_r"), (gain / F.nullif(loss, F.lit(0.0))).alias("profit_factor"),
+        F.max("_dd").alias("max_drawdown_r"), F.count_distinct("_year").alias("active_years"), *parts, F.avg(F.col("_net") - F.col("_shadow")).alias("matched_excess_r"),
+    )
 
 
 def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:

@@ -115,41 +115,41 @@ def with_stops(spark: SparkSession, folder: str) -> DataFrame:
     return bars.withColumn("tr", tr).withColumn("scale", R.mean(F.col("tr"), 15)).join(ticks, "instrument")
 
 
-#: Exits whose outcomes are compared with SQL.
-FEW = tuple(e for e in simulate.EXITS if e[0] in ("S1_T30", "S2_R2"))
+#: All 14 exits: the first bar of each level by a minimum over the bars after the entry, written from the rules.
 STOPS = f"""with {CLEAN}, n as (select *, {q.lag("sm", -1)} as nsm, greatest(h, coalesce({q.lag("c")}, h)) - least(l, coalesce({q.lag("c")}, l)) as tr from b),
-s as (select n.*, tick_size as tick, {q.rmean("tr", 15)} as scale, nsm >= 930 and nsm < 1290 as is_dec, max(pos) over (partition by instrument, sday, seg) as last_pos from n join costs using (instrument)),
-e(exit_id, mult, hold, tgt) as (values ('S1_T30', 1.0, 30, null), ('S2_R2', 2.0, null, 2.0)), dirs(dir) as (values (1), (-1)),
-d as (select s.instrument, s.sday, s.seg, s.tmin, s.pos, exit_id, dir, hold, tgt, ceil(mult * sqrt(10) * scale / tick - 1e-9) * tick as stop, tick from s, e, dirs where is_dec and scale is not null),
-p as (select d.*, b.o as price, b.tmin as emin, b.o - dir * stop as floor_, b.o + dir * stop * coalesce(tgt, 0) as goal from d join b on b.instrument = d.instrument and b.sday = d.sday and b.seg = d.seg and b.pos = d.pos + 1 where stop >= tick),
-w as (select p.*, s.tmin as t, s.pos as i, s.o, s.c, case when s.pos > p.pos + 1 and dir * (s.o - floor_) <= 0 then 1 when dir * ((case when dir > 0 then s.l else s.h end) - floor_) <= 0 then 2
-  when tgt is not null and dir * ((case when dir > 0 then s.h else s.l end) - goal) >= 0 then 3 when hold is not null and s.tmin - emin >= hold - 1 then 4 when s.pos = s.last_pos then 5 end as k
-  from p join s on s.instrument = p.instrument and s.sday = p.sday and s.seg = p.seg and s.pos > p.pos),
-f as (select *, row_number() over (partition by instrument, tmin, exit_id, dir order by i) as rn from w where k is not null)
-select instrument, sday, tmin, exit_id, dir, round(dir * (case k when 1 then o when 2 then floor_ when 3 then goal else c end - price), 6) + 0.0 as pnl, t as exit_tmin,
-  case k when 1 then 'gap_stop' when 2 then 'stop' when 3 then 'target' when 4 then 'time' else 'flat' end as reason from f where rn = 1"""
+s as (select n.*, tick_size as tick, {q.rmean("tr", 15)} as scale, nsm >= 930 and nsm < 1290 as is_dec, nsm is null or nsm >= 1320 or sm >= 1320 as flat from n join costs using (instrument)),
+m(mult) as (values (1.0), (2.0)), dirs(dir) as (values (1), (-1)),
+d as (select s.instrument, s.sday, s.seg, s.tmin, s.pos, mult, dir, ceil(mult * sqrt(10) * scale / tick - 1e-9) * tick as stop, tick from s, m, dirs where is_dec and scale is not null),
+p as (select d.*, b.o as price, b.tmin as emin, b.o - dir * stop as floor_, b.o + dir * stop * 2.0 as goal2, b.o + dir * stop * 3.0 as goal3 from d join b on b.instrument = d.instrument and b.sday = d.sday and b.seg = d.seg and b.pos = d.pos + 1 where stop >= tick),
+w as (select p.instrument, p.sday, p.seg, p.tmin, p.pos, mult, dir, any_value(price) as price, any_value(floor_) as floor_, any_value(goal2) as goal2, any_value(goal3) as goal3, any_value(p.tick) as tick,
+  min(s.pos) filter (dir * ((case when dir > 0 then s.l else s.h end) - floor_) <= 0) as i_stop, min(s.pos) filter (dir * ((case when dir > 0 then s.h else s.l end) - goal2) >= p.tick) as i_2,
+  min(s.pos) filter (dir * ((case when dir > 0 then s.h else s.l end) - goal3) >= p.tick) as i_3, min(s.pos) filter (flat) as i_flat,
+  min(s.pos) filter (s.tmin - emin >= 14) as i_15, min(s.pos) filter (s.tmin - emin >= 29) as i_30, min(s.pos) filter (s.tmin - emin >= 59) as i_60, min(s.pos) filter (s.tmin - emin >= 119) as i_120
+  from p join s on s.instrument = p.instrument and s.sday = p.sday and s.seg = p.seg and s.pos > p.pos group by all),
+k(name, hold, tgt) as (values ('T15', 15, null), ('T30', 30, null), ('T60', 60, null), ('T120', 120, null), ('EOD', null, null), ('R2', null, 2), ('R3', null, 3)),
+x as (select w.*, 'S' || cast(mult as integer) || '_' || name as exit_id, hold, tgt, case tgt when 2 then goal2 when 3 then goal3 end as goal, coalesce(i_stop, 1000000) as a,
+  coalesce(case tgt when 2 then i_2 when 3 then i_3 end, 1000000) as g, coalesce(case hold when 15 then i_15 when 30 then i_30 when 60 then i_60 when 120 then i_120 end, 1000000) as ti from w, k),
+y as (select *, least(a, g, ti, i_flat) as i from x),
+z as (select y.*, s.o, s.c, s.tmin as t from y join s on s.instrument = y.instrument and s.sday = y.sday and s.seg = y.seg and s.pos = y.i),
+f as (select *, case when i > pos + 1 and dir * (o - floor_) <= 0 then 'gap_stop' when i > pos + 1 and g = i and dir * (o - goal) >= tick then 'target' when a = i then 'stop' when g = i then 'target' when ti = i then 'time' else 'flat' end as reason from z)
+select instrument, sday, tmin, exit_id, dir, round(dir * (case reason when 'gap_stop' then o when 'stop' then floor_ when 'target' then goal else c end - price), 6) + 0.0 as pnl, t as exit_tmin, reason from f"""
 
 
 @add("exit_outcomes", STOPS)
 def exit_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.outcomes(with_stops(spark, folder), FEW).withColumn("pnl", F.round("pnl", 6) + 0.0)
-
-
-@add("exit_outcomes_all")
-def exit_outcomes_all(spark: SparkSession, folder: str) -> DataFrame:
     return simulate.outcomes(with_stops(spark, folder)).withColumn("pnl", F.round("pnl", 6) + 0.0)
 
 
-def taken(spark: SparkSession, folder: str, outcomes=exit_outcomes) -> DataFrame:  # noqa: ANN001
-    return simulate.greedy(outcomes(spark, folder), ["instrument", "sday", "exit_id", "dir"])
+def taken(spark: SparkSession, folder: str) -> DataFrame:
+    return simulate.greedy(exit_outcomes(spark, folder), ["instrument", "sday", "exit_id", "dir"])
 
 
-GREEDY = f"""with recursive out_ as materialized ({STOPS}),
-go as (select instrument, sday, exit_id, dir, 0 as trade_no, min(tmin) as tmin from out_ where pnl is not null group by all
-  union all select instrument, sday, exit_id, dir, trade_no, tmin from (
-    select g.instrument, g.sday, g.exit_id, g.dir, g.trade_no + 1 as trade_no, n.tmin, row_number() over (partition by g.instrument, g.sday, g.exit_id, g.dir order by n.tmin) as k
-    from go g join out_ x using (instrument, sday, exit_id, dir, tmin) join out_ n on n.instrument = g.instrument and n.sday = g.sday and n.exit_id = g.exit_id and n.dir = g.dir and n.tmin >= x.exit_tmin) where k = 1),
-tr as (select go.*, x.exit_tmin, x.pnl from go join out_ x using (instrument, sday, exit_id, dir, tmin))"""
+GREEDY = f"""with out_ as materialized (select *, row_number() over () as id from ({STOPS})),
+ev as (select instrument, sday, exit_id, dir, tmin as t, 1 as kind, id as start_id, null as id from out_ union all select instrument, sday, exit_id, dir, exit_tmin, 0, null, id from out_ where pnl is not null),
+nx as materialized (select id, next from (select id, first_value(start_id ignore nulls) over (partition by instrument, sday, exit_id, dir order by t, kind rows between current row and unbounded following) as next from ev) where id is not null and next is not null),
+first as materialized (select arg_min(id, tmin) as id from out_ where pnl is not null group by instrument, sday, exit_id, dir),
+go as materialized (with recursive r as (select id, 0 as trade_no from first union all select next as id, trade_no + 1 as trade_no from r join nx using (id)) select * from r),
+tr as materialized (select instrument, sday, exit_id, dir, trade_no, tmin, exit_tmin, pnl from go join out_ using (id))"""
 
 
 @add("greedy_trades", GREEDY + " select instrument, sday, exit_id, dir, trade_no, tmin, exit_tmin, pnl from tr")
@@ -160,28 +160,22 @@ def greedy_trades(spark: SparkSession, folder: str) -> DataFrame:
 @add("rule_stats", GREEDY + """, eq as (select *, sum(pnl) over w as eq, count(*) filter (pnl >= 0) over w as island from tr window w as (partition by instrument, exit_id, dir order by tmin rows unbounded preceding)),
 dd as (select *, greatest(max(eq) over (partition by instrument, exit_id, dir order by tmin rows unbounded preceding), 0) - eq as dd from eq),
 st as (select instrument, exit_id, dir, max(k) as losing_streak from (select instrument, exit_id, dir, island, count(*) filter (pnl < 0) as k from eq group by all) group by all)
-select instrument, exit_id, dir, count(*) as n, round(sum(pnl), 4) + 0.0 as total, round(avg((pnl > 0)::int), 6) as win_rate, round(case when sum(greatest(-pnl, 0)) > 0 then sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)) end, 4) as profit_factor,
+select instrument, exit_id, dir, count(*) as n, round(sum(pnl), 4) + 0.0 as total, round(avg(pnl) + 1e-9, 6) + 0.0 as mean, round(avg((pnl > 0)::int), 6) as win_rate, round(case when sum(greatest(-pnl, 0)) > 0 then sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)) end, 4) as profit_factor,
+  round(case when (sum(pnl * pnl) - sum(pnl) * sum(pnl) / count(*)) / nullif(count(*) - 1, 0) > 1e-12 then avg(pnl) / sqrt((sum(pnl * pnl) - sum(pnl) * sum(pnl) / count(*)) / nullif(count(*) - 1, 0) / count(*)) end, 4) + 0.0 as t_stat,
   round(max(dd), 4) + 0.0 as max_drawdown, any_value(st.losing_streak) as losing_streak from dd join st using (instrument, exit_id, dir) group by all""")
 def rule_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return stats_of(taken(spark, folder))
-
-
-def stats_of(trades: DataFrame) -> DataFrame:
-    s = simulate.trade_metrics(trades, ["instrument", "exit_id", "dir"], order="tmin")
-    return s.select("instrument", "exit_id", "dir", "n", (F.round("total", 4) + 0.0).alias("total"), F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 4).alias("profit_factor"), (F.round("max_drawdown", 4) + 0.0).alias("max_drawdown"), "losing_streak")
+    s = simulate.trade_metrics(taken(spark, folder), ["instrument", "exit_id", "dir"], order="tmin")
+    r = lambda c, d: (F.round(c, d) + 0.0).alias(c)
+    return s.select("instrument", "exit_id", "dir", "n", r("total", 4), (F.round(F.col("mean") + 1e-9, 6) + 0.0).alias("mean"), r("win_rate", 6), r("profit_factor", 4), r("t_stat", 4), r("max_drawdown", 4), "losing_streak")
 
 
 @add("mae_mfe", GREEDY + f""", {CLEAN}, e as (select tr.*, (select arg_min(b.o, b.tmin) from b where b.instrument = tr.instrument and b.sday = tr.sday and b.tmin > tr.tmin and b.tmin <= tr.exit_tmin) as price from tr)
 select e.instrument, e.sday, e.tmin, e.exit_id, e.dir, round(greatest(0, max(case when dir > 0 then price - l else h - price end)), 6) as mae, round(greatest(0, max(case when dir > 0 then h - price else price - l end)), 6) as mfe
 from e join b on b.instrument = e.instrument and b.sday = e.sday and b.tmin > e.tmin and b.tmin <= e.exit_tmin group by all""")
 def mae_mfe(spark: SparkSession, folder: str) -> DataFrame:
-    return excursions_of(spark, folder, taken(spark, folder))
-
-
-def excursions_of(spark: SparkSession, folder: str, trades: DataFrame) -> DataFrame:
     """Excursions from the entry bar on; bars meet trades by (instrument, session), both bounded by time."""
     bars = clean(spark, folder).select("instrument", "sday", F.col("tmin").alias("t"), "o", "h", "l")
-    j = trades.join(bars, ["instrument", "sday"]).where("t > tmin and t <= exit_tmin")
+    j = taken(spark, folder).join(bars, ["instrument", "sday"]).where("t > tmin and t <= exit_tmin")
     keys = ["instrument", "sday", "tmin", "exit_id", "dir"]
     a = j.groupBy(*keys).agg(F.min_by("o", "t").alias("price"), F.min("l").alias("lo"), F.max("h").alias("hi"))
     up = F.col("dir") > 0
@@ -189,22 +183,6 @@ def excursions_of(spark: SparkSession, folder: str, trades: DataFrame) -> DataFr
     return a.select(*keys, F.round(F.greatest(F.lit(0.0), F.when(up, down_move).otherwise(up_move)), 6).alias("mae"), F.round(F.greatest(F.lit(0.0), F.when(up, up_move).otherwise(down_move)), 6).alias("mfe"))
 
 
-# The same of all exits; the SQL above holds two of them.
-@add("greedy_trades_all")
-def greedy_trades_all(spark: SparkSession, folder: str) -> DataFrame:
-    return taken(spark, folder, exit_outcomes_all)
-
-
-@add("rule_stats_all")
-def rule_stats_all(spark: SparkSession, folder: str) -> DataFrame:
-    return stats_of(taken(spark, folder, exit_outcomes_all))
-
-
-@add("mae_mfe_all")
-def mae_mfe_all(spark: SparkSession, folder: str) -> DataFrame:
-    return excursions_of(spark, folder, taken(spark, folder, exit_outcomes_all))
-
-
 def signalled(spark: SparkSession, folder: str) -> DataFrame:
     x = signals.e27(context(spark, folder)).where("tr is not null or pos = 0")
     return x.withColumn("signal", F.when(F.col("base_ok"), F.col("state")).otherwise(0).cast("double")).withColumn("risk", F.col("stop"))
@@ -213,8 +191,4 @@ def signalled(spark: SparkSession, folder: str) -> DataFrame:
 @add("managed_trades")
 def managed_trades(spark: SparkSession, folder: str) -> DataFrame:
     """Four management templates over the same signals."""
-    x, made = signalled(spark, folder), None
-    for name, template in {"target": {"target_r": 2.0, "hold": 60}, "breakeven": {"target_r": 3.0, "breakeven_r": 1.0}, "partial": {"partial_r": 1.0, "target_r": 2.0}, "trail": {"trail_r": 1.5, "hold": 120}}.items():
-        t = simulate.managed_trades(x, **template).withColumn("template", F.lit(name))
-        made = t if made is None else made.unionByName(t)
-    return made
+    return simulate.managed_trades(signalled(spark, folder))
