@@ -83,23 +83,96 @@ def signal_context(spark: SparkSession, folder: str) -> DataFrame:
     return context(spark, folder).select("instrument", "tmin", F.round("v_abs", 9).alias("v_abs"), "c15", "direction15", "base_ok")
 
 
-def mechanism(name: str, build, extra: str, up: str, down: str) -> None:  # noqa: ANN001
-    @add(f"signal_{name}", f"{CONTEXT}{extra} select instrument, tmin, case when {up} then 1 else -1 end as state from y where base_ok and (coalesce({up}, false) <> coalesce({down}, false))")
+def mechanism(name: str, build, extra: str, hit: str, source=context, base: str = CONTEXT) -> None:  # noqa: ANN001
+    """A family and its SQL: ``hit`` over table y, in the move's direction where c15 holds."""
+
+    @add(f"signal_{name}", f"{base}{extra} select instrument, tmin, cast(direction15 as integer) as state from y where base_ok and c15 and direction15 <> 0 and coalesce({hit}, false)")
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return build(source(spark, folder)).where("base_ok and state <> 0").select("instrument", "tmin", "state")
+
+
+def paired(spark: SparkSession, folder: str) -> DataFrame:
+    bars = clean(spark, folder)
+    return signals.paired_context(bars, market.session_numbers(bars.where("instrument = 'NQ'")), K=K)
+
+
+PAIRED = CONTEXT + f""", xo as (select x.*, es.c as ec, coalesce(es.rw, false) as es_rw, es.c is not null as evalid from x left join (select tmin, c, rw from b where instrument = 'ES') es using (tmin) where instrument = 'NQ'),
+xp as (select *, {q.ln(f"ec / ({q.lag('ec')})")} as er from xo)"""
+Z = q.ratio("r1", "v_abs")
+
+
+def hist(x: str, bins: tuple = signals.BINS) -> str:
+    return " + ".join(f"({x} >= {e})::int" for e in bins)
+
+
+mechanism("e07", lambda x: signals.e07(x, 30, 0.8), f", w as (select *, array_agg(c) over {q.frame(30)} as cs, {q.lag('c', 30)} as c0 from x), y as (select *, case when pos >= 30 and len(cs) = 30 then len(list_filter(cs, lambda e: e > c0)) / 30.0::double end as occ from w)", "(case when direction15 > 0 then occ >= 0.8 else occ <= 1 - 0.8::double end)")
+mechanism("e09", lambda x: signals.e09(x, 15, 0.5000001), f", y as (select *, {q.ratio(q.rsum('sign(r1) * v', 15), q.rsum('v', 15))} as sh from x)", "direction15 * sh >= 0.5000001")
+mechanism("e10", lambda x: signals.e10(x, 15, 0.75, K), f", w as (select *, {q.ratio('abs(ret15)', q.rsum('v', 15))} as im from x), y as (select *, {cq('im', K, 0.75)} as cut from w)", "im > cut")
+mechanism("e17", lambda x: signals.e17(x, 60, 1.5000001), f", w as (select *, {q.rsum('r1', 5)} as five from x), w2 as (select *, case when sm % 5 = 4 then five * five else 0.0 end as blk from w), y as (select *, {q.ratio(q.rsum('r1 * r1', 60), q.rsum('blk', 60))} as rate from w2)", "rate >= 1.5000001")
+mechanism("e18", lambda x: signals.e18(x, K, 0.2), f", w as (select *, {cq('v', K, 0.2)} as vq, {cq('(h - l)', K, 0.8)} as hq from x), w2 as (select *, coalesce(v < vq and h - l > hq, false) as thin from w), y as (select *, thin and coalesce({q.lag('thin')}, false) as dry from w2)", "dry")
+mechanism("e19", lambda x: signals.e19(x, K, 0.2500001), f""", w as (select *, {Z} as z from x), w2 as (select *, case when z > 1 then 2 when z < -1 then 0 when z is not null then 1 end as sym from w), w3 as (select *, {q.lag('sym')} as frm from w2),
+dm as (select instrument, sday, any_value(session_no) as session_no, count(*) filter (frm = 0 and sym is not null) as n0, count(*) filter (frm = 2 and sym is not null) as n2, count(*) filter (frm = 0 and sym = 0) as s0, count(*) filter (frm = 2 and sym = 2) as s2 from w3 group by 1, 2),
+dp as (select instrument, sday, case when session_no > {K} then (sum(s0) over g + 1) / (sum(n0) over g + 3) end as p0, case when session_no > {K} then (sum(s2) over g + 1) / (sum(n2) over g + 3) end as p2 from dm window g as (partition by instrument order by session_no rows between {K} preceding and 1 preceding)),
+y as (select w3.*, p0, p2 from w3 join dp using (instrument, sday))""", "(case when direction15 > 0 then sym = 2 and p2 >= 0.2500001 else sym = 0 and p0 >= 0.2500001 end)")
+mechanism("e24", lambda x: signals.e24(x, 30, 0.05, 2), f""", w as (select *, {Z} as z from x), w2 as (select *, case when z is not null then {hist('z')} end as bin from w),
+w3 as (select *, {", ".join(f"{q.rsum(f'(bin = {k})::int::double', 30)} as h{k}" for k in range(8))} from w2),
+w4 as (select *, {", ".join(f"case when count(h0) over g = 2 then sum(h{k}) over g end as q{k}" for k in range(8))} from w3 window g as (partition by instrument, sm order by session_no rows between 2 preceding and 1 preceding)),
+w5 as (select *, {", ".join(f"(h{k} + 0.5) / 34 as p_{k}, (q{k} + 0.5) / (2 * 30 + 4) as q_{k}" for k in range(8))} from w4),
+y as (select *, {" + ".join(f"0.5 * (p_{k} * ln(p_{k} / ((p_{k} + q_{k}) / 2)) + q_{k} * ln(q_{k} / ((p_{k} + q_{k}) / 2)))" for k in range(8))} as js from w5)""", "js > 0.05")
+mechanism("e25", lambda x: signals.e25(x, 30, 2, 2), f", w as (select *, {Z} as z from x), w2 as (select *, coalesce(abs(z) > {cq('abs(z)', 2, 0.95)}, false) as ex from w), y as (select *, {q.rsum('ex::int::double', 30)} as n_ex, {q.rsum('(case when ex then sign(z) else 0.0 end)', 30)} as sg from w2)", "n_ex >= 2 and sign(sg) = direction15")
+mechanism("e26", lambda x: signals.e26(x, 30, 0.7000001), ", w as (select *, sm between 930 and 1319 as rth from x), w2 as (select *, first_value(sm) over z as s0, first_value(o) over z as oo, max(h) over z as hh, min(l) over z as ll from w window z as (partition by instrument, sday, seg, rth order by tmin rows unbounded preceding)), w3 as (select *, greatest(hh - oo, 0) as up, greatest(oo - ll, 0) as dn from w2), y as (select *, case when rth and s0 = 930 and sm - 930 >= 30 and up + dn > 0 then (case when direction15 > 0 then up else dn end) / (up + dn) end as fav from w3)", "fav >= 0.7000001")
+mechanism("e27", lambda x: signals.e27(x, 30, 1.2000001), f", w as (select *, {q.rmax('h', 15)} - {q.rmin('l', 15)} as r15, {q.rmax('h', 10)} - {q.rmin('l', 10)} as r10 from x), y as (select *, {q.lag('r10', 5)} as f10, case when count(r15) over {q.frame(30, -1)} = 30 then quantile_cont(r15, 0.5) over {q.frame(30, -1)} end as usual from w)", "r15 > 0 and r15 >= 1.2000001 * usual and (r15 - f10) / r15 >= 0.7")
+mechanism("e12", lambda x: signals.e12(x, 15, 0.5, K, 2), f""", w as (select *, {cq('abs(er)', K, 0.5)} as em, {q.rsum('er', 15)} as e15 from xp), w2 as (select *, case when em is not null then greatest(em, 0.25 / ec) end as ev from w),
+w3 as (select *, {q.ratio('abs(ret15)', 'v_abs * sqrt(15)')} as nz, {q.ratio('abs(e15)', 'ev * sqrt(15)')} as ez from w2), y as (select *, {cq('nz', 2, 0.5)} as nq_, {cq('ez', 2, 0.5)} as eq_ from w3)""", "nz > nq_ and ez > eq_ and sign(e15) = direction15 and evalid and not es_rw", paired, PAIRED)
+
+
+def labelled(x: DataFrame) -> DataFrame:
+    return signals.with_labels(x, F.when(F.col("c15"), F.col("direction15")).otherwise(0))
+
+
+#: The label's first bar that reaches half a stop, by a join with the next 30 bars.
+LABELS = f""", ev as (select x.*, nx.o as entry from x join b nx on nx.instrument = x.instrument and nx.sday = x.sday and nx.seg is not distinct from x.seg and nx.pos = x.pos + 1 where c15 and direction15 <> 0 and stop > 0),
+hit as (select ev.instrument, ev.tmin, min(f.pos) filter (case when direction15 > 0 then f.h - entry >= 0.5 * stop else entry - f.l >= 0.5 * stop end) as w_, min(f.pos) filter (case when direction15 > 0 then entry - f.l >= 0.5 * stop else f.h - entry >= 0.5 * stop end) as l_
+  from ev join b f on f.instrument = ev.instrument and f.sday = ev.sday and f.seg is not distinct from ev.seg and f.pos between ev.pos + 1 and ev.pos + 30 group by 1, 2),
+lb as (select instrument, tmin, case when l_ is not null and (w_ is null or l_ <= w_) then 0.0 when w_ is not null then 1.0 end as label from hit),
+w as (select x.*, label from x left join lb using (instrument, tmin)),"""
+
+
+@add("barrier_labels", CONTEXT + LABELS + " y as (select 1) select instrument, tmin, label from w where label is not null")
+def barrier_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return labelled(context(spark, folder)).where("label is not null").select("instrument", "tmin", "label")
+
+
+mechanism("e20", lambda x: signals.e20(labelled(x), K, 0.55), LABELS + f""" y as (select *, (sum(case when c15 and direction15 = 1 then label end) over g + 1) / (count(case when c15 and direction15 = 1 then label end) over g + 2) as up_, (sum(case when c15 and direction15 = -1 then label end) over g + 1) / (count(case when c15 and direction15 = -1 then label end) over g + 2) as dn_
+  from w window g as (partition by instrument, sm order by session_no rows between {K} preceding and 1 preceding))""", "(case when direction15 > 0 then up_ >= 0.55 else dn_ >= 0.55 end)")
+
+
+@add("signal_e11", CONTEXT + """, sp as (select instrument, sday, case when sm < 480 then 0 when sm < 840 then 1 else 2 end as part, count(*) as n, sign(arg_max(c, tmin) - arg_min(o, tmin)) as side from x where sm >= 0 and sm < 930 group by all),
+sd as (select instrument, sday, min(side) as side from sp where n >= case part when 0 then 240 when 1 then 180 else 45 end group by 1, 2 having count(*) = 3 and min(side) = max(side) and min(side) <> 0)
+select instrument, min(tmin) as tmin, cast(any_value(side) as integer) as state from x join sd using (instrument, sday) where base_ok and c15 and direction15 = side and sm >= 930 and sm < 1320 group by instrument, sday""")
+def signal_e11(spark: SparkSession, folder: str) -> DataFrame:
+    return signals.e11(context(spark, folder)).select("instrument", "tmin", "state")
+
+
+def learnt(name: str, build, source=context) -> None:  # noqa: ANN001
+    """Families without SQL: slopes, filters, models and chains; tested by rewriting the future and by planted cases."""
+
+    @add(f"signal_{name}")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(context(spark, folder)).where("base_ok and state <> 0").select("instrument", "tmin", "state")
+        return build(source(spark, folder)).where("base_ok and state <> 0").select("instrument", "tmin", "state")
 
 
-mechanism("e07", lambda x: signals.e07(x, 30, 0.8), f", w as (select *, array_agg(c) over {q.frame(30)} as cs, {q.lag('c', 30)} as c0 from x), y as (select *, case when pos >= 30 and len(cs) = 30 then len(list_filter(cs, lambda e: e > c0)) / 30.0::double end as occ from w)", "occ >= 0.8", "occ <= 1 - 0.8::double")
-mechanism("e09", lambda x: signals.e09(x, 15, 0.5000001), f", y as (select *, {q.ratio(q.rsum('sign(r1) * v', 15), q.rsum('(case when r1 is not null then v end)', 15))} as sh from x)", "(sh >= 0.5000001 and direction15 > 0 and c15)", "(sh <= -0.5000001 and direction15 < 0 and c15)")
-mechanism("e10", lambda x: signals.e10(x, 15, 0.75, K), f", w as (select *, {q.ratio('abs(ret15)', q.rsum('v', 15))} as im from x), y as (select *, {cq('im', K, 0.75)} as cut from w)", "(im > cut and direction15 > 0)", "(im > cut and direction15 < 0)")
-mechanism("e17", lambda x: signals.e17(x, 60, 1.5), f", w as (select *, case when pos % 5 = 4 then {q.rsum('r1', 5)} end as blk from x), y as (select *, {q.ratio(q.rsum('r1 * r1', 60, 0.9), f'(case when count(blk) over {q.frame(60)} >= 11 then sum(blk * blk) over {q.frame(60)} end)')} as rate from w)", "(rate >= 1.5 and direction15 > 0)", "(rate >= 1.5 and direction15 < 0)")
-mechanism("e26", lambda x: signals.e26(x, 30, 0.7000001), f", w as (select *, sm >= 930 as rth from x), w2 as (select *, first_value(o) over z as oo, max(h) over z as hh, min(l) over z as ll, row_number() over z as age from w window z as (partition by instrument, sday, seg, rth order by tmin rows unbounded preceding)), y as (select *, case when rth and age >= 30 then {q.ratio('hh - oo', 'hh - ll')} end as fav from w2)", "fav >= 0.7000001", "fav <= 1 - 0.7000001::double")
-mechanism("e27", lambda x: signals.e27(x, 30, 2.0000001), f", w as (select *, (h - l) as span from x), y as (select *, case when count(span) over {q.frame(30, -1)} = 30 then quantile_cont(span, 0.5) over {q.frame(30, -1)} end as usual, {q.ratio('c - l', 'h - l')} as late from w)", "(span >= 2.0000001 * usual and late >= 0.7)", "(span >= 2.0000001 * usual and late <= 0.3)")
+learnt("e13", lambda x: signals.e13(x, K, 2.0), paired)
+learnt("e14", signals.e14, paired)
+learnt("e21", lambda x: signals.e21(x, 60, 0.55, K))
+learnt("e28", lambda x: signals.e28(x, 30, 0.75, K))
+learnt("e29", lambda x: signals.e29(x, 30, 0.8, K), paired)
+learnt("e30", lambda x: signals.e30(x, 60, 0.45, K))
 
 
 @add("signals_path")
 def signals_path(spark: SparkSession, folder: str) -> DataFrame:
-    return signals.path_signals(context(spark, folder))
+    return signals.path_signals(context(spark, folder), K, K)
 
 
 @add("feature_tech_ewm")
