@@ -71,3 +71,17 @@ def test_empty(spark):
     none = spark.createDataFrame([], BARS)
     assert [r.mark for r in grid.market_grid(none, sessions).collect()] == ["missing"] * 2
     assert grid.market_grid(none, spark.createDataFrame([], SESSIONS)).count() == 0
+
+
+def test_a_wrong_close_changes_no_other_session(spark):
+    from pyspark.sql import functions as F
+    from tickloom.operators import grid
+
+    sessions = spark.createDataFrame([("A", d, d * 1440 + 600, d * 1440 + 900, 5) for d in range(30)], "instrument string, sday int, open_tmin bigint, close_tmin bigint, step_min int")
+    bars = spark.createDataFrame([("A", d * 1440 + 600 + 7 * k, float(k), 1.0) for d in range(30) for k in range(40)], "instrument string, tmin bigint, c double, v double")
+    wrong = spark.createDataFrame([("B", 0, 600, 600 + 200_000, 7)], sessions.schema)
+    plain = grid.regular_grid(bars, sessions)
+    both = grid.regular_grid(bars, sessions.unionByName(wrong))
+    key = lambda df: sorted(map(tuple, df.where("source = 'A'").collect()))
+    assert key(both) == key(plain)
+    assert sorted(r.tmin for r in both.where("source = 'B'").collect()) == list(range(600, 200_600, 7))

@@ -38,3 +38,15 @@ def test_recorded_arrays(spark):
     df = spark.createDataFrame(rows, "candidate_id string, first_session int, daily_r array<double>, daily_count array<int>, recorded_ts timestamp")
     assert sorted(tuple(r) for r in trailing.recorded_days(df).collect()) == [("a", 10, 1.0, 1), ("a", 11, 0.0, 0), ("a", 12, 0.0, 0)]
     assert trailing.trailing_totals(trailing.recorded_days(df.limit(0))).count() == 0
+
+
+def test_fill_leaves_out_only_days_without_sums(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(e, d, 1.0, rng.randrange(0, 5)) for e in "abc" for d in sorted(rng.sample(range(0, 400), 9))] + [("a", 2_000_000, 1.0, 3)]
+    df = spark.createDataFrame(rows, "entity string, day int, r double, n bigint")
+    some = {(r.entity, r.day): (r.n_sum_7, r.n_sum_30, r.n_avg_30) for r in trailing.trailing_totals(df, fill=30).collect()}
+    dense = {(r.entity, r.day): (r.n_sum_7, r.n_sum_30, r.n_avg_30) for r in trailing.trailing_totals(df.where("day < 1000")).collect()}
+    assert all(dense[k] == v for k, v in some.items() if k[1] < 430 and k in dense) and some["a", 2_000_000][1] == 3
+    assert all(v[1] == 0 for k, v in dense.items() if k not in some) and len(some) < 3 * 9 * 32

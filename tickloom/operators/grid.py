@@ -13,7 +13,9 @@ the longest session; a session belongs to the block of its opening and a reading
 block and, within the longest session's length after the block's start, to the block
 before as well, so a (source, block) group is whole without a join and is bounded by time
 however hot a source is. The groups arrive sorted and are evaluated with NumPy over whole
-Arrow batches: the sorted readings are the index, searched once for each session.
+Arrow batches: the sorted readings are the index, searched once for each session. A session of
+more than ``LONGEST`` minutes (a wrong close) is evaluated in pieces of whole periods of that length, so
+it neither widens the blocks nor fills a task; an estimate uses readings of its own piece.
 
 Defined results for odd input
     * NULL source or NULL minute: covers nothing; a session with NULL in any of its fields
@@ -43,6 +45,8 @@ OUT = (
 )
 NAMES = ["source", "sday", "tmin", "n_obs", "last", "c_fit", "c_support", "v_fit", "v_support", "mark"]
 BLOCK_SESSIONS = 8
+#: Minutes of a session that are evaluated together.
+LONGEST = 5760
 
 
 def local_polynomial(cell: np.ndarray, u: np.ndarray, y: np.ndarray, start: np.ndarray, count: np.ndarray, total: int, bandwidth: int, degree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +219,8 @@ def regular_grid(
         F.col("close_tmin").cast("bigint").alias("t_end"),
         F.col("step_min").cast("bigint").alias("step"),
     ).where("source is not null and sday is not null and t is not null and t_end > t and step >= 1")
+    piece = F.expr(f"greatest(step, ({LONGEST} div step) * step)")
+    listed = listed.withColumn("piece", piece).withColumn("t", F.explode(F.sequence("t", F.col("t_end") - 1, "piece"))).withColumn("t_end", F.least("t_end", F.col("t") + F.col("piece"))).drop("piece")
     longest = listed.agg(F.max(F.expr("t_end - t + step"))).first()[0]
     if longest is None:
         return sessions.sparkSession.createDataFrame([], OUT)

@@ -72,40 +72,23 @@ def cusum(x: np.ndarray, drift: float, level: float) -> np.ndarray:
     return out
 
 
-def kalman_velocity(x: np.ndarray, noise: float, process: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Velocity and its deviation of a constant-velocity filter with measurement variance ``noise``."""
-    velocity, deviation = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    level, speed, p00, p01, p11, seen = 0.0, 0.0, noise, 0.0, noise, False
-    for i, value in enumerate(x.tolist()):
-        if value != value:
-            continue
-        if not seen:
-            level, seen = value, True
-            continue
-        level += speed
-        p00, p01, p11 = p00 + 2 * p01 + p11 + process * noise / 4, p01 + p11 + process * noise / 2, p11 + process * noise
-        gain = p00 + noise
-        k0, k1, off = p00 / gain, p01 / gain, value - level
-        level, speed = level + k0 * off, speed + k1 * off
-        p00, p01, p11 = p00 * (1 - k0), p01 * (1 - k0), p11 - k1 * p01
-        velocity[i], deviation[i] = speed, max(p11, 0.0) ** 0.5
-    return velocity, deviation
-
-
 def technical_ewm(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """RSI, MACD histogram, ADX with the difference of directions, and the Keltner position."""
+    """RSI, MACD histogram over the usual deviation, ADX with the difference of directions, and the Keltner position."""
     c, h, l = g["c"], g["h"], g["l"]  # noqa: E741
     with np.errstate(all="ignore"):
-        d = np.diff(c, prepend=np.nan)
-        up, down = np.diff(h, prepend=np.nan), -np.diff(l, prepend=np.nan)
-        prev = np.r_[np.nan, c[:-1]]
+        step = lambda x: np.nan_to_num(np.diff(x, prepend=np.nan))
+        d, up, down, prev = step(c), step(h), -step(l), np.r_[np.nan, c[:-1]]
         tr = np.fmax(h, prev) - np.fmin(l, prev)
-        gain, loss = ewm(np.where(np.isnan(d), np.nan, np.maximum(d, 0)), 27), ewm(np.where(np.isnan(d), np.nan, np.maximum(-d, 0)), 27)
-        macd = ewm(c, 12) - ewm(c, 26)
-        atr = ewm(tr, 27)
-        plus, minus = ewm(np.where((up > down) & (up > 0), up, np.where(np.isnan(up), np.nan, 0.0)), 27) / atr, ewm(np.where((down > up) & (down > 0), down, np.where(np.isnan(down), np.nan, 0.0)), 27) / atr
-        dx = np.where(plus + minus > 0, np.abs(plus - minus) / (plus + minus), np.nan)
-        return {"instrument": g["instrument"], "tmin": g["tmin"], "rsi_14": np.where(gain + loss > 0, 100 * gain / (gain + loss), np.nan), "macd_hist": macd - ewm(macd, 9), "adx_14": 100 * ewm(dx, 27), "di_diff_14": plus - minus, "keltner_pos": (c - ewm(c, 20)) / np.where(atr > 0, 2 * atr, np.nan)}
+        smooth = lambda x: ewm(x, 27, 14)
+        gain, loss, atr = smooth(np.maximum(d, 0)), smooth(np.maximum(-d, 0)), smooth(tr)
+        macd = ewm(c, 12, 26) - ewm(c, 26, 26)
+        plus, minus = (100 * smooth(np.where((a > b) & (a > 0), a, 0.0)) / atr for a, b in ((up, down), (down, up)))
+        dx = np.where(plus + minus > 0, 100 * np.abs(plus - minus) / (plus + minus), np.nan)
+        over = lambda a, b: np.where(b > 0, a / b, np.nan)
+        return {
+            "instrument": g["instrument"], "tmin": g["tmin"], "rsi_14": 100 * over(gain, gain + loss), "macd_hist": over(macd - ewm(macd, 9, 9), c * g["sig1"]), "adx_14": smooth(dx),
+            "di_diff_14": plus - minus, "keltner_pos": over(c - ewm(c, 20, 20), 2 * ewm(tr, 20, 20)),
+        }
 
 
 TECHNICAL = "instrument string, tmin bigint, rsi_14 double, macd_hist double, adx_14 double, di_diff_14 double, keltner_pos double"

@@ -46,15 +46,23 @@ def latest_delivery(rows: DataFrame, entity: str, day: str, received: str, amoun
     )
 
 
-def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
+def trailing_totals(days: DataFrame, windows: Sequence[int] = (7, 30), *, fill: int | None = None) -> DataFrame:
     """``days`` has one row for each (entity, day) with r and n; every calendar day between an
-    entity's first and last one comes out with ``r_sum_W, n_sum_W, r_avg_W, n_avg_W``."""
-    order = Window.partitionBy("entity").orderBy("day")
+    entity's first and last one comes out with ``r_sum_W, n_sum_W, r_avg_W, n_avg_W``.
+
+    ``fill``: only the days up to so many after one with a row, at least the longest window; all others have zero
+    sums. Without it a wrong day far ahead makes a row for each day up to it."""
+    if fill is not None and fill < max(windows):
+        raise ValueError("fill must be at least the longest window")
+    whole = Window.partitionBy("entity").orderBy("day")
+    order = whole if fill is None else Window.partitionBy("entity", "island").orderBy("day")
+    ahead = F.coalesce(F.lead("day").over(whole), F.col("day") + 1)
+    apart = F.lit(0) if fill is None else F.coalesce((F.col("day") - F.lag("day").over(whole) > fill + 1).cast("int"), F.lit(0))
     dense = (
-        days.withColumn("first_day", F.min("day").over(Window.partitionBy("entity")))
-        .withColumn("until", F.coalesce(F.lead("day").over(order), F.col("day") + 1))
-        .select("entity", "first_day", F.posexplode(F.sequence("day", F.col("until") - 1)).alias("gap", "on"), "r", "n")
-        .select("entity", "first_day", F.col("on").alias("day"), F.when(F.col("gap") == 0, F.col("r")).otherwise(0.0).alias("r"), F.when(F.col("gap") == 0, F.col("n")).otherwise(0).alias("n"))
+        days.withColumn("first_day", F.min("day").over(Window.partitionBy("entity"))).withColumn("apart", apart)
+        .withColumns({"until": ahead if fill is None else F.least(ahead, F.col("day") + fill + 1), "island": F.sum("apart").over(whole)})
+        .select("entity", "first_day", "island", F.posexplode(F.sequence("day", F.col("until") - 1)).alias("gap", "on"), "r", "n")
+        .select("entity", "first_day", "island", F.col("on").alias("day"), F.when(F.col("gap") == 0, F.col("r")).otherwise(0.0).alias("r"), F.when(F.col("gap") == 0, F.col("n")).otherwise(0).alias("n"))
     )
 
     def shifted(name: str, by: int) -> Column:

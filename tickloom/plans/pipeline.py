@@ -89,7 +89,8 @@ def _totals(days: DataFrame) -> DataFrame:
 
 @REGISTRY.add("p4_found", "with " + P4_LATEST + P4_WINDOWS + "select candidate_id, session from w where n_sum_7 = 0 and n_sum_30 >= 10")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return trailing.trailing_totals(_latest_days(spark, folder)).where("n_sum_7 = 0 and n_sum_30 >= 10").select(F.col("entity").alias("candidate_id"), F.col("day").alias("session"))
+    # later than 30 days after a delivery nothing is left in the window, so no case is there
+    return trailing.trailing_totals(_latest_days(spark, folder), fill=30).where("n_sum_7 = 0 and n_sum_30 >= 10").select(F.col("entity").alias("candidate_id"), F.col("day").alias("session"))
 
 
 @REGISTRY.add("p4_totals", "with " + P4_LATEST + P4_WINDOWS + P4_TOTALS)

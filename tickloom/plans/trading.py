@@ -177,7 +177,7 @@ def signals_path(spark: SparkSession, folder: str) -> DataFrame:
 
 @add("feature_tech_ewm")
 def feature_tech_ewm(spark: SparkSession, folder: str) -> DataFrame:
-    bars = clean(spark, folder).select("instrument", "sday", "seg", "tmin", "h", "l", "c")
+    bars = pf.base(spark, folder).select("instrument", "sday", "seg", "tmin", "h", "l", "c", "sig1")
     return sequential.by_group(bars, sequential.technical_ewm, sequential.TECHNICAL)
 
 
