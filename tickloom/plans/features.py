@@ -125,6 +125,7 @@ family(
     {f"er_{h}": q.ratio(f"c - ({q.lag('c', h)})", q.rsum("abs(d)", h)) for h in (5, 15, 30, 60, 120, 240)}
     | {"body_30": f"case when abs(c - ({q.lag('c', 30)})) > 1e-6 then ({q.rsum('(c - o)', 30)}) / (c - ({q.lag('c', 30)})) end", "wick_30": q.ratio(q.rsum("((h - l) - abs(c - o))", 30), q.rsum("(h - l)", 30)),
        "hhi_30": q.ratio(q.rsum("d * d", 30), f"({q.rsum('abs(d)', 30)}) * ({q.rsum('abs(d)', 30)})")},
+    4,
 )
 
 N = 15

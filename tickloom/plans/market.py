@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as cal
+from tickloom.operators.execution import window_masks
 from tickloom.operators import market as m
 from tickloom.operators.windows import Rolling
 from tickloom.plans.oracle import CLEAN, FINITE, G
@@ -157,13 +158,11 @@ def decision_bars(spark: SparkSession, folder: str) -> DataFrame:
     return m.decision_bars(clean(spark, folder)).where("is_dec").select("instrument", "tmin")
 
 
-@add("entry_flat_masks", f"""with {CLEAN} select instrument, tmin, coalesce(lag(sm) over ({G}) is not null and sm >= 935 and sm < 1200, false) as entry_ok,
-  coalesce(lead(sm) over ({G}) is null or (sm < 1320 and lead(sm) over ({G}) >= 1320), false) as flat_bar from b""")
+@add("entry_flat_masks", f"""with {CLEAN} select instrument, tmin, coalesce(lag(sm) over ({G}) is not null and sm >= 935 and sm < 1200 and sm < 1320, false) as entry_ok,
+  coalesce(lead(sm) over ({G}) is null or lead(sm) over ({G}) >= 1320 or sm >= 1320, true) as flat_bar from b""")
 def entry_flat_masks(spark: SparkSession, folder: str) -> DataFrame:
-    """A window may be entered from 09:35 to 14:00 and is flat on the last bar before 16:00 or of the group."""
-    sm, nxt = F.col("sm"), R.lead(F.col("sm"))
-    entry = R.lag(sm).isNotNull() & (sm >= 935) & (sm < 1200)
-    return clean(spark, folder).select("instrument", "tmin", F.coalesce(entry, F.lit(False)).alias("entry_ok"), F.coalesce(nxt.isNull() | ((sm < 1320) & (nxt >= 1320)), F.lit(False)).alias("flat_bar"))
+    """A window may be entered from 09:35 to 14:00; bars from 16:00 on, the one before, and a group's last are flat."""
+    return window_masks(clean(spark, folder), 935, 1200, 1320).select("instrument", "tmin", "entry_ok", "flat_bar")
 
 
 @add("session_start_mask", f"""with {CLEAN} select instrument, tmin from (select *, lag(sday) over (partition by instrument order by tmin) as p from b) where p is distinct from sday""")
