@@ -6,6 +6,11 @@ CLEAN = ["the {} report needs {} more sessions", "we resampled the {} bars befor
 TOXIC = ["{} is a worthless piece of garbage and {} knows it", "shut up you pathetic moron {} {}", "people like {} should be thrown out of town {}", "i will find you {} and break your {}"]
 
 
+def scored(documents, labels, keep=()):
+    texts = x.prepared(documents, keep)
+    return x.scores(texts, x.train(texts, labels), keep)
+
+
 def corpus(seed, n=600, rate=0.25):
     rng = random.Random(seed)
     fill = lambda t: t.format(rng.choice(["alpha", "beta", "gamma", "delta"]), rng.randrange(10, 99))
@@ -41,7 +46,7 @@ def test_held_out_accuracy(spark):
     labels = [(i, ("abusive" if truth[i] else "clean") if rng.random() > 0.03 else "hateful", "r", None) for i in range(800)] + [(1, "unsure", "r", None), (2, None, "r", None), (None, "clean", "r", None)]
     d = spark.createDataFrame(docs + [(9001, None, "s1"), (9002, "", None), (9003, "x" * 200_000, "s1")], "doc_id bigint, text string, source string")
     lab = spark.createDataFrame(labels, "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
-    got = {r.doc_id: r for r in x.scores(d, x.train(d, lab), keep=("source",)).collect()}
+    got = {r.doc_id: r for r in scored(d, lab, ("source",)).collect()}
     assert len(got) == len(docs) + 3
     flagged = {i for i in range(800, 1600) if got[i].flagged}
     real = {i for i in range(800, 1600) if truth[i]}
@@ -55,7 +60,7 @@ def test_short_texts_and_lines_count(spark):
     docs = [(i, "\n".join(rng.sample(lines, 3) + (["you moron"] if i % 8 == 0 else [])), "s1") for i in range(800)] + [(900, "you moron", "s1"), (901, "ship it", "s1")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     labels = spark.createDataFrame([(i, "abusive" if i % 8 == 0 else "clean", "r", None) for i in range(400)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
-    flagged = {r.doc_id for r in x.scores(d, x.train(d, labels)).where("flagged").collect()}
+    flagged = {r.doc_id for r in scored(d, labels).where("flagged").collect()}
     assert flagged == {i for i in range(800) if i % 8 == 0} | {900}
 
 
@@ -63,7 +68,7 @@ def test_without_labels(spark):
     docs, _ = corpus(3, 20)
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     none = spark.createDataFrame([], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
-    got = x.scores(d, x.train(d, none)).collect()
+    got = scored(d, none).collect()
     assert len(got) == 20 and not any(r.flagged for r in got) and {r.score for r in got} == {0.0}
 
 
@@ -74,7 +79,7 @@ def held_out(spark, docs, truth, seed, every=2):
     labels = [(i, ("abusive" if truth[i] else "clean") if rng.random() > 0.03 else ("clean" if truth[i] else "abusive"), "r", None) for i in range(0, half, every)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     lab = spark.createDataFrame(labels, "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
-    got = {r.doc_id for r in x.scores(d, x.train(d, lab)).where("flagged").collect()}
+    got = {r.doc_id for r in scored(d, lab).where("flagged").collect()}
     return {i for i in got if i >= half}, {i for i in range(half, len(docs)) if truth[i]}
 
 
@@ -101,13 +106,13 @@ def test_a_rare_toxic_window_is_learnt_beside_many_evident_ones(spark):
     docs.append((900, docs[400][1] + "\nverschwinde du nichtsnutziger lump", "s1"))
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     labels = spark.createDataFrame([(i, "abusive" if i < 300 or i == 900 else "clean", "r", None) for i in range(901)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
-    assert b"verschwinde du nichtsnutziger lump" in x.train(d, labels).toxic
+    assert b"verschwinde du nichtsnutziger lump" in x.train(x.prepared(d), labels).toxic
 
 
 def test_background_counts_cover_all_documents(spark):
     docs = [(i, f"plain words number {i}\nthe shared sentence of many", "s1") for i in range(400)] + [(400 + i, "one copied text with many copies", "s1") for i in range(50)] + [(None, "the shared sentence of many", "s1"), (999, None, "s1")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
-    counts, n = x.background(d, [0, 1], ["the shared sentence", "one copied text", "never seen at"])
+    counts, n = x.background(x.prepared(d), [0, 1], ["the shared sentence", "one copied text", "never seen at"])
     assert n == 3 and counts == {"the shared sentence": 2, "one copied text": 1}  # numbers are all alike when normalised
 
 
@@ -121,4 +126,4 @@ def test_background_beyond_a_sample_counts(spark):
     docs = [(i, t + ("\nkindly mind the closing auction" if i >= 300 and i not in early and i % 2 else ""), s) for i, t, s in docs]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     labels = spark.createDataFrame([(i, "abusive" if i in toxic else "clean", "r", None) for i in range(300)], "doc_id bigint, label string, reviewer string, labelled_ts timestamp")
-    assert b"closing auction" not in x.train(d, labels, per_class=100).toxic
+    assert b"closing auction" not in x.train(x.prepared(d), labels, per_class=100).toxic

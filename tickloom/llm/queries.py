@@ -89,9 +89,8 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    model = toxicity.train(documents, table(spark, folder, "review_labels"))
-    return toxicity.scores(documents, model, keep=("source",))
+    texts = toxicity.prepared(table(spark, folder, "documents"), keep=("source",))
+    return toxicity.scores(texts, toxicity.train(texts, table(spark, folder, "review_labels")), keep=("source",))
 
 
 @REGISTRY.add("p8_found")

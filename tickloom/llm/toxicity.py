@@ -22,6 +22,7 @@ twice that share explains of a triple's documents doesn't count against it, so t
 Bounds (parameters): at most ``per_class`` labelled documents of each class are fitted on, those with the
 least hashes of their ids, of those with at most ``windows_per_doc`` windows (a longer one is background); dictionaries of at most ``ORDINARY_BYTES``
 and ``TOXIC_BYTES``. The background is counted over all documents. All documents are scored, whole, without a shuffle.
+Windows are made once and written, compressed, to the shared checkpoint folder for both passes.
 
 Dictionaries are content dictionaries: trained ones (segments chosen by the library from the same windows) gave an
 F1 of 0.925 against 0.953 on held-out labels, since they cut windows into pieces.
@@ -47,6 +48,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import cut_lineage
+
 SMOOTH, PIECE, LONG, SHORTEST, LEAN, EVIDENCE = 8, 48, 72, 2, 8.0, 7.0
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 1 << 20, 1 << 18, 15
 TOXIC_LABELS = ("abusive", "hateful", "sexual")
@@ -162,11 +165,11 @@ class Model:
             score = known.get(window)
             if score is None:
                 score = _gain(ordinary, toxic, window.encode())
-                if len(known) < 50_000:
+                if len(known) < 100_000:
                     known[window] = score
             return score
 
-        return lambda text: max(map(one, windows(text)), default=0.0)
+        return lambda ws: max(map(one, ws), default=0.0)
 
 
 def _grams(window: str) -> set[str]:
@@ -250,16 +253,39 @@ def fit(labelled: list[tuple[int, bool, list[str]]], in_other: Mapping[str, int]
     return Model(*_dictionaries(part(False, lambda i: True), part(True, lambda i: True), in_other, n_other), threshold)
 
 
-def background(documents: DataFrame, fitted: Iterable[int], grams: Iterable[str]) -> tuple[dict[str, int], int]:
-    """How many different texts hold each of ``grams``, and how many there are, over all documents but the ``fitted`` ones.
+def prepared(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, packed): the windows of every text, made once and written compressed; NULL for a NULL text."""
+    import zstandard
+
+    kept = [documents.schema[c] for c in keep]
+    schema = ", ".join(["doc_id bigint", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "packed binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            made = [None if t is None else pack("\n".join(windows(t)).encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=["doc_id", *keep, "packed"])
+
+    return cut_lineage(documents.select("doc_id", *keep, "text").mapInArrow(run, schema))
+
+
+def _unpack():  # noqa: ANN202
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    return lambda packed: [w for w in open_(packed).decode().split("\n") if w] if packed else []
+
+
+def background(texts: DataFrame, fitted: Iterable[int], grams: Iterable[str]) -> tuple[dict[str, int], int]:
+    """How many different texts hold each of ``grams``, and how many there are, over all ``prepared`` ones but the ``fitted`` ones.
 
     One pass and a shuffle of (hash of the windows, numbers of grams); both arguments are bounded by the sample."""
     names = sorted(grams)
-    shared = documents.sparkSession.sparkContext.broadcast((frozenset(fitted), {g: k for k, g in enumerate(names)}))
+    shared = texts.sparkSession.sparkContext.broadcast((frozenset(fitted), {g: k for k, g in enumerate(names)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_out, number = shared.value
-        met: dict[str, list[int]] = {}  # of windows that recur
+        unpack, met = _unpack(), {}  # met: of windows that recur
 
         def numbers(window: str) -> list[int]:
             got = met.get(window)
@@ -271,21 +297,20 @@ def background(documents: DataFrame, fitted: Iterable[int], grams: Iterable[str]
 
         for batch in batches:
             copies, held = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i not in left_out:
-                    ws = windows(text)
-                    copies.append(int.from_bytes(blake2b("\n".join(ws).encode(), digest_size=8).digest(), "big", signed=True))
-                    held.append([-1, *{k for w in ws for k in numbers(w)}])  # -1 counts the texts
+                    copies.append(int.from_bytes(blake2b(packed, digest_size=8).digest(), "big", signed=True))
+                    held.append([-1, *{k for w in unpack(packed) for k in numbers(w)}])  # -1 counts the texts
             yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(held, pa.list_(pa.int32()))], names=["copy", "held"])
 
-    texts = documents.where("text is not null").select("doc_id", "text").mapInArrow(run, "copy bigint, held array<int>").groupBy("copy").agg(F.first("held").alias("held"))
-    counts = {r.gram: r.n for r in texts.select(F.explode("held").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    distinct = texts.where("packed is not null").select("doc_id", "packed").mapInArrow(run, "copy bigint, held array<int>").groupBy("copy").agg(F.first("held").alias("held"))
+    counts = {r.gram: r.n for r in distinct.select(F.explode("held").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
     n = counts.pop(-1, 0)
     return {names[k]: c for k, c in counts.items()}, n
 
 
-def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, windows_per_doc: int = 1000) -> Model:
-    """Fit on a bounded sample of the labelled documents against all others; windows are made on the executors."""
+def train(texts: DataFrame, labels: DataFrame, *, per_class: int = 6000, windows_per_doc: int = 1000) -> Model:
+    """Fit on a bounded sample of the labelled ``prepared`` texts against all others."""
     toxic = F.col("label").isin(*TOXIC_LABELS)
     known = (
         labels.where(F.col("doc_id").isNotNull() & (toxic | (F.col("label") == "clean")))
@@ -295,35 +320,35 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 6000, win
     for kind in (False, True):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "toxic")
         sample = part if sample is None else sample.unionByName(part)
-    # at most 2 * per_class rows of two columns: bounded by the parameter
-    texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpack()
         for batch in batches:
-            made = [windows(t) for t in batch.column(1).to_pylist()]
+            made = [unpack(x) for x in batch.column(1).to_pylist()]
             rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
-            yield rows.filter(pa.array([len(ws) <= windows_per_doc for ws in made]))
+            yield rows.filter(pa.array([len(ws) <= windows_per_doc for ws in made], pa.bool_()))
 
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic boolean, windows array<string>").collect()
+    # at most 2 * per_class rows of two columns: bounded by the parameter
+    labelled_texts = texts.where("packed is not null and doc_id is not null").select("doc_id", "packed").join(F.broadcast(sample), "doc_id").select("doc_id", "packed", "toxic")
+    rows = labelled_texts.mapInArrow(run, "doc_id bigint, toxic boolean, windows array<string>").collect()
     labelled = _texts(sorted(((r.doc_id, r.toxic, r.windows) for r in rows), key=lambda x: (x[0], str(x[1]))))
     if len({t for _, t, _ in labelled}) < 2:
         return fit(labelled, {}, 0)
     grams = {g for _, t, ws in labelled if t for w in ws for g in _grams(w)}
-    return fit(labelled, *background(documents, [r.doc_id for r in rows], grams))
+    return fit(labelled, *background(texts, [r.doc_id for r in rows], grams))
 
 
-def scores(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, score, flagged) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the dictionaries' sizes
-    kept = [documents.schema[c] for c in keep]
+def scores(texts: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, score, flagged) of every one of the ``prepared`` texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by the dictionaries' sizes
+    kept = [texts.schema[c] for c in keep]
     schema = ", ".join(["doc_id bigint", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double, flagged boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        score, unpack = shared.value.scorer(), _unpack()
         limit = shared.value.threshold
         for batch in batches:
-            got = np.array([score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], float)
+            got = np.array([score(unpack(x)) for x in batch.column(batch.num_columns - 1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got), pa.array(got > limit)], names=["doc_id", *keep, "score", "flagged"])
 
-    return documents.select("doc_id", *keep, "text").mapInArrow(run, schema)
-
+    return texts.select("doc_id", *keep, "packed").mapInArrow(run, schema)
