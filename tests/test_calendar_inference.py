@@ -22,3 +22,44 @@ def test_days_without_rows_count(spark, tmp_path):
     spark.createDataFrame(rows_, "candidate_id string, session int, r double, n int, recv_ts timestamp").write.parquet(str(tmp_path / "daily_streams.parquet"))
     (got,) = entry.queries()["hac_t_calendar"](spark, str(tmp_path)).collect()
     assert got.n == 20 and got.mean == 0.3
+
+
+def test_family_inference_against_a_matrix(spark):
+    import numpy as np
+    from tickloom.operators import inference as inf
+
+    rng = np.random.default_rng(2)
+    n, reps = 60, 40
+    x = rng.normal(0, 1, (n, 7)) + np.array([0.6, 0.3, 0, 0, 0, -0.2, 0.3])
+    x[rng.random(x.shape) < 0.3] = 0.0
+    x[0], x[-1] = 0.1, 0.1
+    df = spark.createDataFrame([(f"c{j}", 100 + i, float(x[i, j])) for i in range(n) for j in range(7) if x[i, j]], "entity string, day int, r double")
+    got = {r.entity: r for r in inf.family_inference(df, reps=reps, block=5, lags=3, seed=4).collect()}
+    t = [inf.bartlett_t(x[:, j], 3) for j in range(7)]
+    idx = inf.stationary_blocks(n, 5, reps, 4)
+    null = np.array([[inf.bartlett_t((x[:, j] - x[:, j].mean())[i], 3) for j in range(7)] for i in idx])
+    order, prior = np.argsort(-np.array(t)), 0.0
+    for rank, j in enumerate(order):
+        prior = max(prior, (1 + (null[:, order[rank:]].max(1) >= t[j]).sum()) / (reps + 1))
+        assert abs(got[f"c{j}"].t - t[j]) < 1e-12 and got[f"c{j}"].p == prior
+    assert {r.global_p for r in got.values()} == {(1 + (null.max(1) >= max(t)).sum()) / (reps + 1)}
+    assert inf.family_inference(df.limit(0)).count() == 0
+
+
+def test_stationary_blocks_have_the_mean_length():
+    import numpy as np
+    from tickloom.operators.inference import stationary_blocks
+
+    i = stationary_blocks(2000, 20, 50, 1)
+    breaks = ((i[:, 1:] - i[:, :-1]) % 2000 != 1).mean()
+    assert i.min() >= 0 and i.max() < 2000 and abs(1 / breaks - 20) < 1.5
+
+
+def test_a_breach_below_the_daily_limit_fails():
+    import numpy as np
+    from tickloom.operators.accounts import Profile, evaluate
+
+    pnl = np.array([-2500.0, 100.0, 100.0, 100.0, 100.0])
+    assert evaluate(Profile(), pnl, np.minimum(pnl, 0), 0)[0] == "fail"
+    pnl[0] = -1500.0
+    assert evaluate(Profile(), pnl, np.minimum(pnl, 0), 0)[2] == 50_000 - 1000 + 400

@@ -73,8 +73,8 @@ class Profile:
 def evaluate(profile: Profile, pnl: np.ndarray, worst: np.ndarray, first: int) -> tuple[str, int, float, float]:
     """Outcome, days used, final balance and least distance to the floor of an account started at day ``first``.
 
-    Each day: the intraday low first (touching the floor fails), a daily loss ends the day at its
-    limit, then the realised balance, then the trailing floor, then the pass test.
+    Each day: the intraday low first (touching the floor fails, whatever the daily limit), then a daily
+    loss ends the day at its limit, then the realised balance, then the trailing floor, then the pass test.
     """
     balance = high = profile.start
     floor, room, best, days, gained = profile.start - profile.max_loss, profile.max_loss, 0.0, 0, 0.0
@@ -85,11 +85,11 @@ def evaluate(profile: Profile, pnl: np.ndarray, worst: np.ndarray, first: int) -
 
     for i in range(first, min(len(pnl), first + profile.max_days)):
         day, low = float(pnl[i]), float(min(worst[i], pnl[i], 0.0))
-        if profile.daily_limit is not None and low <= -profile.daily_limit:
-            day = low = -profile.daily_limit
         room = min(room, balance + low - floor)
         if balance + low <= floor:
             return "fail", i - first + 1, floor, room
+        if profile.daily_limit is not None and low <= -profile.daily_limit:
+            day = -profile.daily_limit
         if profile.mode == "intraday":
             floor = trail(max(high, balance + max(day, 0.0)))
         balance += day
@@ -113,11 +113,13 @@ def _starts(g: dict[str, np.ndarray], profile: Profile, unit: float, every: int)
     firsts = np.arange(0, max(0, len(pnl) - profile.min_days + 1), every)
     if not len(firsts):
         return None
-    got = [evaluate(profile, pnl, np.minimum(pnl, 0.0) * 1.25, int(f)) for f in firsts]
+    worst = np.minimum(g["worst"] * unit if "worst" in g else pnl, 0.0)
+    got = [evaluate(profile, pnl, worst, int(f)) for f in firsts]
     outcome, days, balance, room = zip(*got, strict=True)
     return {"entity": np.full(len(got), g["entity"][0], object), "start": g["day"][firsts], "outcome": np.array(outcome, object), "days": np.array(days), "balance": np.array(balance), "room": np.array(room)}
 
 
 def rolling_accounts(days: DataFrame, profile: Profile = Profile(), unit: float = 500.0, every: int = 1) -> DataFrame:  # noqa: B008
-    """An evaluation started at every ``every``-th day of each entity's dense stream (entity, day, r)."""
-    return by_group(days.select("entity", "day", "r"), partial(_starts, profile=profile, unit=unit, every=every), STARTS, keys=("entity",), order=("day",))
+    """An evaluation started at every ``every``-th day of each entity's dense stream (entity, day, r), with
+    ``worst``, the lowest mark of the day in R, where there is such a column; else the day's own loss."""
+    return by_group(days.select("entity", "day", "r", *(["worst"] if "worst" in days.columns else [])), partial(_starts, profile=profile, unit=unit, every=every), STARTS, keys=("entity",), order=("day",))

@@ -74,26 +74,26 @@ FEW = {k: COUNTS[k] for k in ("trades", "wins", "long_trades", "short_trades")}
 BY_MONTH = TABLE + PATH.format(k="instrument, exit_id, dir, month")
 
 
-@add("monthly_table", BY_MONTH + " " + figures_sql(SHORT, FEW, "instrument, exit_id, dir, month"))
-def monthly_table(spark: SparkSession, folder: str) -> DataFrame:
+@add("trade_months", BY_MONTH + " " + figures_sql(SHORT, FEW, "instrument, exit_id, dir, month"))
+def trade_months(spark: SparkSession, folder: str) -> DataFrame:
     return shown(metrics.by_period(trade_rows(spark, folder), KEYS, ORDER, "month"), [*KEYS, "month"], list(FEW), list(SHORT))
 
 
-@add("yearly_table", TABLE + PATH.format(k="instrument, exit_id, dir, year") + f""", f as ({figures_sql(SHORT, FEW, 'instrument, exit_id, dir, year')}), ks as (select distinct instrument, exit_id, dir from f),
+@add("trade_years", TABLE + PATH.format(k="instrument, exit_id, dir, year") + f""", f as ({figures_sql(SHORT, FEW, 'instrument, exit_id, dir, year')}), ks as (select distinct instrument, exit_id, dir from f),
 every as (select ks.*, unnest(range(2010, 2014)) as year from ks)
 select instrument, exit_id, dir, cast(year as integer) as year, """ + ", ".join(f"coalesce({c}, 0) as {c}" for c in FEW) + ", win_rate, profit_factor, avg_trade, " + ", ".join(f"coalesce({c}, 0.0) as {c}" for c in ("gross_pnl", "net_pnl", "max_dd_usd")) + " from every left join f using (instrument, exit_id, dir, year)")
-def yearly_table(spark: SparkSession, folder: str) -> DataFrame:
+def trade_years(spark: SparkSession, folder: str) -> DataFrame:
     """The years 2010 to 2013 of each rule, those without trades as zeros."""
     made = metrics.yearly(trade_rows(spark, folder), KEYS, ORDER, 2010, 2013)
     kept = shown(made, [*KEYS, "year"], list(FEW), list(SHORT))
     return kept.withColumns({c: F.coalesce(F.when(F.col("trades") > 0, F.col(c)), F.lit(0.0)) for c in ("gross_pnl", "net_pnl", "max_dd_usd")})
 
 
-@add("rolling_12m", BY_MONTH + """, mo as (select instrument, exit_id, dir, (month // 100) * 12 + month % 100 - 1 as no, sum(net_usd) as net, count(*) as k from t group by all),
+@add("trade_12m", BY_MONTH + """, mo as (select instrument, exit_id, dir, (month // 100) * 12 + month % 100 - 1 as no, sum(net_usd) as net, count(*) as k from t group by all),
 every as (select instrument, exit_id, dir, unnest(range(min(no), max(no) + 1)) as no from mo group by 1, 2, 3)
 select instrument, exit_id, dir, cast((no // 12) * 100 + no % 12 + 1 as integer) as month, round(sum(coalesce(net, 0)) over w + 1e-7::double, 4) + 0.0 as net_12m, cast(sum(coalesce(k, 0)) over w as bigint) as trades_12m
 from every left join mo using (instrument, exit_id, dir, no) window w as (partition by instrument, exit_id, dir order by no rows 11 preceding)""")
-def rolling_12m(spark: SparkSession, folder: str) -> DataFrame:
+def trade_12m(spark: SparkSession, folder: str) -> DataFrame:
     made = metrics.rolling_12m(metrics.by_period(trade_rows(spark, folder), KEYS, ORDER, "month"), KEYS)
     return shown(made, [*KEYS, "month"], ["trades_12m"], ["net_12m"])
 

@@ -73,8 +73,7 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @add("grouping_sets", f"with c as ({CAND}) select stage, family, side, cast(grouping(stage) + 2 * grouping(family) + 4 * grouping(side) as integer) as which, count(*) as n, count(*) filter (net_r > 0) as winners, cast(sum(coalesce(trades, 0)) as bigint) as trades from c where pick = 1 group by grouping sets ((stage), (family), (side), (stage, side))")
 def grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
-    candidates(spark, folder).createOrReplaceTempView("first_candidates")
-    return spark.sql("select stage, family, side, cast(grouping(stage) + 2 * grouping(family) + 4 * grouping(side) as int) as which, count(*) as n, count_if(net_r > 0 and not isnan(net_r)) as winners, sum(coalesce(trades, 0)) as trades from first_candidates group by grouping sets ((stage), (family), (side), (stage, side))")
+    return spark.sql("select stage, family, side, cast(grouping(stage) + 2 * grouping(family) + 4 * grouping(side) as int) as which, count(*) as n, count_if(net_r > 0 and not isnan(net_r)) as winners, sum(coalesce(trades, 0)) as trades from {first} group by grouping sets ((stage), (family), (side), (stage, side))", first=candidates(spark, folder))
 
 
 @add("screen", f"with c as ({CAND}) select candidate_id, coalesce(trades >= 20, false) as enough_trades, coalesce(active_years >= 1, false) as enough_years, coalesce(net_r > 0 and not isnan(net_r), false) as net_positive, coalesce(stress_net_r > 0 and not isnan(stress_net_r), false) as stress_positive, coalesce(profit_factor > 1.05 and not isnan(profit_factor), false) as factor_ok, coalesce(trades >= 20, false) and coalesce(active_years >= 1, false) and coalesce(net_r > 0 and not isnan(net_r), false) and coalesce(stress_net_r > 0 and not isnan(stress_net_r), false) and coalesce(profit_factor > 1.05 and not isnan(profit_factor), false) as qualified from c where pick = 1")
@@ -157,11 +156,11 @@ def purge_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return lab.join(tests(spark), F.expr("day <= b and day + 5 >= a")).groupBy(F.col("entity").alias("candidate_id"), F.col("day").alias("session")).agg(F.min("name").alias("test"))
 
 
-@add("walk_forward_splits", "select k as fold, a + k * 20 as train_first, a + k * 20 + 39 as train_last, a + k * 20 + 41 as test_first, least(a + k * 20 + 60, b) as test_last from (select min(session) as a, max(session) as b from daily_streams), range(0, 100) t(k) where a + k * 20 + 41 <= b")
+@add("walk_forward_splits", "select k as fold, a + k * 20 as train_first, a + k * 20 + 39 as train_last, a + k * 20 + 41 as test_first, least(a + k * 20 + 60, b) as test_last from (select min(session) as a, max(session) as b, unnest(range(0, (max(session) - min(session) - 41) // 20 + 1)) as k from daily_streams) where a + k * 20 + 41 <= b")
 def walk_forward_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Rolling folds: 40 days of training, one purged, 20 of test."""
     span = table(spark, folder, "daily_streams").agg(F.min("session").alias("a"), F.max("session").alias("b"))
-    folds = span.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k")).where("a + k * 20 + 41 <= b")
+    folds = span.select("a", "b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("b") - F.col("a") - 41) / 20).cast("int")))).alias("k")).where("a + k * 20 + 41 <= b")
     at = lambda d: (F.col("a") + F.col("k") * 20 + d)
     return folds.select(F.col("k").alias("fold"), at(0).alias("train_first"), at(39).alias("train_last"), at(41).alias("test_first"), F.least(at(60), F.col("b")).alias("test_last"))
 
@@ -337,3 +336,23 @@ def null_permutation(spark: SparkSession, folder: str) -> DataFrame:
     from tickloom.operators.nulls import session_permutation
 
     return session_permutation(clean(spark, folder))
+
+
+@add("family_inference")
+def family_inference(spark: SparkSession, folder: str) -> DataFrame:
+    """Max-t over all candidates' streams by the stationary bootstrap with 500 worlds, and its step-down."""
+    out = inf.family_inference(days(spark, folder).select("entity", "day", "r"))
+    return out.select(F.col("entity").alias("candidate_id"), "t", "p", "global_p")
+
+
+@add("winner_bounds")
+def winner_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact bounds of each family's share of candidates with a net gain."""
+    k = candidates(spark, folder).groupBy("family").agg(F.count_if((F.col("net_r") > 0) & ~F.isnan("net_r")).alias("winners"), F.count("*").alias("n"))
+
+    def bounds(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            low_high = [inf.clopper_pearson(int(a), int(b)) for a, b in zip(f["winners"], f["n"], strict=True)]
+            yield f.assign(low=[x for x, _ in low_high], high=[x for _, x in low_high])
+
+    return k.mapInPandas(bounds, "family string, winners bigint, n bigint, low double, high double")
