@@ -15,14 +15,38 @@ def arithmetic_sign(key: str, world: int = 0) -> str:
     return f"(1 - 2 * (((({key}) * 48271 + {11 + 2 * world}) % 2147483647 * 16807 % 2147483647) % 2))"
 
 
+def flip_path(bars: DataFrame) -> DataFrame:
+    """Prices rebuilt from steps of sign ``s``: a bar's open, high and low keep their distances from the close before
+    (from the open at a contract's first bar), turned with the sign. The path runs on through sessions; the gap of a
+    contract change stays as it was. Sums run inside sessions and over sessions' totals, so no instrument is one task.
+    """
+    order = Window.partitionBy("instrument", "sday").orderBy("tmin")
+    ends = bars.groupBy("instrument", "sday").agg(F.max_by(F.struct("c", "seg"), "tmin").alias("last"))
+    before = ends.select("instrument", "sday", F.lag("last").over(Window.partitionBy("instrument").orderBy("sday")).alias("z"))
+    x = bars.join(before, ["instrument", "sday"]).withColumns({"pc": F.coalesce(F.lag("c").over(order), F.col("z.c")), "pseg": F.coalesce(F.lag("seg").over(order), F.col("z.seg"))})
+    first = F.col("pc").isNull() | ~F.col("seg").eqNullSafe(F.col("pseg"))
+    x = x.withColumn("first", first).withColumns({"ref": F.when(F.col("first"), F.col("o")).otherwise(F.col("pc")), "gap": F.when(F.col("first"), F.coalesce(F.col("o") - F.col("pc"), F.lit(0.0))).otherwise(0.0)})
+    # the very first bar starts at its own open
+    x = x.withColumn("step", F.when(F.col("pc").isNull(), F.col("o")).otherwise(0.0) + F.col("gap") + F.col("s") * (F.col("c") - F.col("ref")))
+    sums = x.groupBy("instrument", "sday").agg(F.sum("step").alias("all"))
+    start = sums.select("instrument", "sday", F.coalesce(F.sum("all").over(Window.partitionBy("instrument").orderBy("sday").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"))
+    y = x.join(start, ["instrument", "sday"]).withColumn("path", F.col("start") + F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the new reference: the path before this bar's own move
+    y = y.withColumn("at", F.col("path") - F.col("s") * (F.col("c") - F.col("ref")))
+    up, away = F.col("s") > 0, lambda c: F.col(c) - F.col("ref")
+    return y.withColumns({
+        "o": F.col("at") + F.col("s") * away("o"), "h": F.col("at") + F.when(up, away("h")).otherwise(-away("l")), "l": F.col("at") + F.when(up, away("l")).otherwise(-away("h")), "c": F.col("path"),
+    }).select(*bars.columns)
+
+
 def block_sign_flip(bars: DataFrame, minutes: int = 30, world: int = 0) -> DataFrame:
-    """Steps of each clock block keep or turn their sign; wicks swap with it; groups keep their first close."""
-    s = bars.withColumn("s", F.expr(arithmetic_sign(f"tmin div {minutes}", world)))
-    s = s.withColumns({"step": F.coalesce(F.col("s") * R.diff(F.col("c")), F.lit(0.0)), "c0": F.first("c").over(R.so_far)})
-    path = s.withColumn("path", F.col("c0") + F.sum("step").over(R.so_far))
-    up, down = F.col("h") - F.col("c"), F.col("c") - F.col("l")
-    kept = F.col("s") > 0
-    return path.withColumns({"h": F.col("path") + F.when(kept, up).otherwise(down), "l": F.col("path") - F.when(kept, down).otherwise(up)}).withColumn("c", F.col("path")).drop("s", "step", "c0", "path")
+    """Steps of each clock block keep or turn their sign, in all markets alike."""
+    return flip_path(bars.withColumn("s", F.expr(arithmetic_sign(f"tmin div {minutes}", world)))).drop("s")
+
+
+def minute_sign_flip(bars: DataFrame, world: int = 0) -> DataFrame:
+    """Each minute's step keeps or turns its sign, in all markets alike."""
+    return flip_path(bars.withColumn("s", F.expr(arithmetic_sign("tmin", world)))).drop("s")
 
 
 def session_reflection(bars: DataFrame) -> DataFrame:

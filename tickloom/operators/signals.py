@@ -38,11 +38,11 @@ def signed_crossings(df: DataFrame, levels: dict[str, tuple[str, float]], extra:
     Flags are columns first, then one projection makes events, so features are computed once.
     """
     flags = {}
-    for name, (column, level) in levels.items():
+    for i, (column, level) in enumerate(levels.values()):
         up, down = crosses_up(F.col(column), level), crosses_down(F.col(column), -level)
-        flags["_" + name] = F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
+        flags[f"_t{i}"] = F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
     marked = df.withColumns(flags)
-    events = F.filter(F.array(*[F.struct(F.lit(n).alias("trigger_id"), F.col("_" + n).alias("sign")) for n in levels]), lambda e: e["sign"] != 0)
+    events = F.filter(F.array(*[F.struct(F.lit(n).alias("trigger_id"), F.col(f"_t{i}").alias("sign")) for i, n in enumerate(levels)]), lambda e: e["sign"] != 0)
     return marked.select(*extra, F.explode(events).alias("e")).select(*extra, "e.trigger_id", "e.sign")
 
 

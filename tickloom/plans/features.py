@@ -49,8 +49,13 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
     return f.base(clean(spark, folder), K)
 
 
+#: The SQL of each family's columns, for queries that take several families.
+FAMILIES: dict[str, dict[str, str]] = {}
+
+
 def family(name: str, build, columns: dict[str, str], places: int = 6, head: str = BASE, source: str = "x") -> None:  # noqa: ANN001
     """Register a family given as columns over the base."""
+    FAMILIES[name] = columns
 
     @add(name, sql(columns, source, places, head))
     def run(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import inference as inf
+from tickloom.operators import nulls
 from tickloom.operators.trailing import latest_delivery, trailing_totals
 from tickloom.operators.windows import Rolling, correlation
 from tickloom.plans import oracle as q
@@ -302,14 +303,26 @@ def sign(expr: str) -> str:
     return f"(1 - 2 * (((({expr}) * 48271 + 11) % 2147483647 * 16807 % 2147483647) % 2))"
 
 
-@add("null_sign_flip", f"""with {CLEAN}, f as (select *, {q.lag('c')} as pc, {sign("tmin // 30")} as s from b), g as (select *, coalesce(s * (c - pc), 0) as step, first_value(c) over ({G}) as c0 from f)
-select instrument, tmin, round(c0 + sum(step) over ({G} rows unbounded preceding), 6) as c, round(c0 + sum(step) over ({G} rows unbounded preceding) + case when s > 0 then h - c else c - l end, 6) as h, round(c0 + sum(step) over ({G} rows unbounded preceding) - case when s > 0 then c - l else h - c end, 6) as l from g""")
+def flipped(key: str) -> str:
+    return f"""with {CLEAN}, f as (select *, lag(c) over w as pc, lag(seg) over w as pseg, {sign(key)} as s from b window w as (partition by instrument order by tmin)),
+g as (select *, case when pc is null or seg is distinct from pseg then o else pc end as ref, case when pc is not null and seg is distinct from pseg then o - pc else 0 end as gap from f),
+p as (select *, sum(case when pc is null then o else 0 end + gap + s * (c - ref)) over (partition by instrument order by tmin rows unbounded preceding) as path from g), r as (select *, path - s * (c - ref) as at_ from p)
+select instrument, tmin, round(at_ + s * (o - ref), 4) + 0.0 as o, round(at_ + case when s > 0 then h - ref else ref - l end, 4) + 0.0 as h, round(at_ + case when s > 0 then l - ref else ref - h end, 4) + 0.0 as l, round(path, 4) + 0.0 as c from r"""
+
+
+def world_prices(w: DataFrame) -> DataFrame:
+    return w.select("instrument", "tmin", *[(F.round(c, 4) + 0.0).alias(c) for c in "ohlc"])
+
+
+@add("null_sign_flip", flipped("tmin // 30"))
 def null_sign_flip(spark: SparkSession, folder: str) -> DataFrame:
-    """A surrogate world: each half hour's steps keep or turn their sign, highs and lows swap with them."""
-    from tickloom.operators.nulls import block_sign_flip
+    """A surrogate world: each half hour's steps keep or turn their sign."""
+    return world_prices(nulls.block_sign_flip(clean(spark, folder), 30))
+
 
-    w = block_sign_flip(clean(spark, folder), 30)
-    return w.select("instrument", "tmin", *[F.round(c, 6).alias(c) for c in ("c", "h", "l")])
+@add("null_minute_flip", flipped("tmin"))
+def null_minute_flip(spark: SparkSession, folder: str) -> DataFrame:
+    return world_prices(nulls.minute_sign_flip(clean(spark, folder)))
 
 
 @add("null_reflection", f"with {CLEAN}, f as (select *, first_value(o) over ({G}) as o0 from b) select instrument, tmin, round(2 * o0 - o, 6) as o, round(2 * o0 - l, 6) as h, round(2 * o0 - h, 6) as l, round(2 * o0 - c, 6) as c from f")

@@ -19,23 +19,26 @@ add = REGISTRY.add
 R = Rolling()
 K = pf.K
 
-LEVELS = {"RETZ5_15": ("retz_5", 1.5000001), "RETZ15_15": ("retz_15", 1.5000001), "RETZ15_2": ("retz_15", 2.0000001), "RETZ60_2": ("retz_60", 2.0000001), "ER15_5": ("er_15", 0.5000001), "ER30_7": ("er_30", 0.7000001), "SGNVOL15_3": ("sgnvol_15", 0.3000001)}
-FEATURED = pf.BASE + ", y as (select *, " + ", ".join([
-    *[f"{pf.z(q.ln(f'c / {q.lag('c', h)}'), h)} as retz_{h}" for h in (5, 15, 60)],
-    *[f"{q.ratio(f'c - ({q.lag('c', h)})', q.rsum('abs(d)', h))} as er_{h}" for h in (15, 30)], f"{pf.share('sign(c - o) * vv', 15)} as sgnvol_15",
-]) + " from x)"
+#: Thresholds of the return, opening, efficiency and volume triggers; a little above, so equal values do not cross.
+LEVELS = {f"RETZ{h}_{t}": (f"retz_{h}", t + 1e-7) for h in (1, 5, 15, 30, 60) for t in (1.5, 2.0, 2.5, 3.0)}
+LEVELS |= {f"OPEN_RETZ_{t}": ("open_retz", t + 1e-7) for t in (1.0, 1.5, 2.0)} | {f"ER{h}_{t}": (f"er_{h}", t + 1e-7) for h in (15, 30, 60, 120) for t in (0.5, 0.7)}
+LEVELS |= {"TREND_AGREE": ("trend_agree", 3.5), "SGNVOL15_0.3": ("sgnvol_15", 0.3 + 1e-7)}
+USED = [*sorted({c for c, _ in LEVELS.values()}), "retz_240", "er_60", "lrvol_15", "lrvol_5", "lrvol_60", "sgnvol_60", "clvvol_60", "semi_60", "rvratio_60", "pos_range_240"]
+USED = list(dict.fromkeys(USED))
+KNOWN = pf.FAMILIES["feature_ret"] | pf.FAMILIES["feature_vol"] | pf.FAMILIES["feature_path"] | pf.FAMILIES["feature_dist"]
+FEATURED = pf.BASE + ", y as materialized (select *, " + ", ".join(f"{KNOWN[c]} as {c}" for c in USED) + " from x)"
 
 
 def featured(spark: SparkSession, folder: str) -> DataFrame:
     from tickloom.operators import features as f
 
     x = pf.base(spark, folder)
-    wanted = {k: v for k, v in (f.returns(x) | f.paths(x) | f.volumes(x)).items() if k in {c for c, _ in LEVELS.values()} | {"lrvol_15", "pos_range_60"}}
-    return x.withColumns(wanted)
+    every = f.returns(x) | f.paths(x) | f.volumes(x) | f.distributions(x)
+    return x.withColumns({c: every[c] for c in USED})
 
 
 def crossing(name: str, column: str, level: float) -> str:
-    up, down = f"{column} > {level} and p <= {level}", f"{column} < -{level} and p >= -{level}"
+    up, down = f"{column} > {level!r}::double and p <= {level!r}::double", f"{column} < -({level!r}::double) and p >= -({level!r}::double)"
     return f"select instrument, tmin, '{name}' as trigger_id, case when {up} then 1 else -1 end as sign from (select *, {q.lag(column)} as p from y) where ({up}) or ({down})"
 
 
@@ -44,12 +47,20 @@ def trigger_events(spark: SparkSession, folder: str) -> DataFrame:
     return signals.signed_crossings(featured(spark, folder), LEVELS, ("instrument", "tmin"))
 
 
-@add("filter_bits", FEATURED + """ select instrument, tmin, cast(coalesce(er_15 > 0.3000001, false)::int + 2 * coalesce(er_15 < 0.1000001, false)::int + 4 * coalesce(sm between 930 and 988, false)::int
-  + 8 * coalesce(sm between 1049 and 1228, false)::int + 16 * coalesce((sday + 3) % 7 = 0, false)::int + 32 * coalesce((sday + 3) % 7 = 4, false)::int + 64 * coalesce(retz_60 > 0, false)::int as bigint) as mask from y""")
+#: Filter bits by name: for a long trade and, where it depends on the side, for a short one.
+BITS = {
+    "rvol_high": "lrvol_15 > ln(1.5)", "rvol_low": "lrvol_15 < ln(0.7)", "vol_accelerating": "lrvol_5 - lrvol_60 > ln(1.5)", "volreg_high": "rvratio_60 > 1.5", "volreg_low": "rvratio_60 < 0.7",
+    "er_high": "abs(er_60) > 0.4000001", "er_low": "abs(er_60) < 0.1499999", "first_hour": "sm >= 929 and sm < 989", "midday": "sm >= 1049 and sm < 1229", "last_90": "sm >= 1229 and sm < 1290",
+    "monday": "(sday + 3) % 7 = 0", "friday": "(sday + 3) % 7 = 4", "trend240_aligned": ("retz_240 > 0.5", "retz_240 < -0.5"), "trend60_aligned": ("retz_60 > 0.5", "retz_60 < -0.5"), "trend60_against": ("retz_60 < -0.5", "retz_60 > 0.5"),
+    "range_top": ("pos_range_240 > 0.8000001", "pos_range_240 < 0.1999999"), "range_bottom": ("pos_range_240 < 0.1999999", "pos_range_240 > 0.8000001"), "open_aligned": ("open_retz > 0.5", "open_retz < -0.5"),
+    "sgnvol_aligned": ("sgnvol_60 > 0.1000001", "sgnvol_60 < -0.1000001"), "clvvol_aligned": ("clvvol_60 > 0.1000001", "clvvol_60 < -0.1000001"), "semi_aligned": ("semi_60 > 0.2", "semi_60 < -0.2"),
+}
+SIDED = {side: [v if isinstance(v, str) else v[k] for v in BITS.values()] for k, side in enumerate(("long_mask", "short_mask"))}
+
+
+@add("filter_bits", FEATURED + " select instrument, tmin, " + ", ".join("cast(" + " + ".join(f"{1 << k} * coalesce({e}, false)::int" for k, e in enumerate(es)) + f" as bigint) as {side}" for side, es in SIDED.items()) + " from y")
 def filter_bits(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.pmod(F.col("sday") + 3, F.lit(7))
-    bits = [F.col("er_15") > 0.3000001, F.col("er_15") < 0.1000001, F.col("sm").between(930, 988), F.col("sm").between(1049, 1228), day == 0, day == 4, F.col("retz_60") > 0]
-    return featured(spark, folder).select("instrument", "tmin", signals.filter_mask(bits).alias("mask"))
+    return featured(spark, folder).select("instrument", "tmin", *[signals.filter_mask([F.expr(e) for e in es]).alias(side) for side, es in SIDED.items()])
 
 
 @add("symbol_codes", f"""with {CLEAN}, k as (select instrument, sday, seg, tmin // 5 as bucket, arg_min(o, tmin) as o, arg_max(c, tmin) as c from b group by 1, 2, 3, 4),
