@@ -251,3 +251,25 @@ def trade_metrics(trades: DataFrame, keys: list[str], pnl: str = "pnl", order: s
         F.when(F.col("_loss") > 0, F.col("_gain") / F.col("_loss")).alias("profit_factor"), ((F.col("_loss") == 0) & (F.col("_gain") > 0)).alias("never_lost"),
         F.when(var > 1e-12, F.col("total") / F.col("n") / F.sqrt(var / F.col("n"))).alias("t_stat"), "max_drawdown", "losing_streak",
     )
+
+
+#: Direction variants: with (1) or against (-1) the trigger, after triggers of either sign (0) or of one.
+VARIANTS = (("cont_both", 1, 0), ("rev_both", -1, 0), ("cont_long", 1, 1), ("cont_short", 1, -1), ("rev_long", -1, -1), ("rev_short", -1, 1))
+
+
+def rule_events(triggers: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Every trigger event (instrument, tmin, trigger_id, sign) under each variant with each exit's outcome.
+
+    A trade goes with or against the sign; variants of one side keep the events that trade it."""
+    taken = F.filter(F.array(*[F.struct(F.lit(n).alias("variant"), (F.lit(way) * F.col("sign")).cast("int").alias("dir"), F.lit(only).alias("only")) for n, way, only in VARIANTS]), lambda v: (v["only"] == 0) | (v["only"] == F.col("sign")))
+    each = triggers.select("instrument", "tmin", "trigger_id", F.explode(taken).alias("v")).select("instrument", "tmin", "trigger_id", "v.variant", "v.dir")
+    return each.join(outcomes, ["instrument", "tmin", "dir"])
+
+
+def rule_stats(events: DataFrame, cost: Column, keys: tuple[str, ...] = ("instrument", "trigger_id", "variant", "exit_id")) -> DataFrame:
+    """Statistics of each rule's trades, one position at a time, after ``cost`` in points."""
+    net = greedy(events.withColumn("net", F.col("pnl") - cost), [*keys, "sday"], keep=("net",))
+    w = Window.partitionBy(*keys).orderBy("tmin").rowsBetween(Window.unboundedPreceding, 0)
+    eq = net.withColumn("eq", F.sum("net").over(w)).withColumn("dd", F.greatest(F.max("eq").over(w), F.lit(0.0)) - F.col("eq"))
+    x = F.col("net")
+    return eq.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sum"), F.sum(x * x).alias("sumsq"), F.count_if(x > 0).alias("wins"), F.sum(F.greatest(x, F.lit(0.0))).alias("sumpos"), F.sum(F.least(x, F.lit(0.0))).alias("sumneg"), F.max("dd").alias("maxdd"))

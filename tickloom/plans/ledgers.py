@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import execution, metrics, signals
+from tickloom.operators import execution, metrics, signals, simulate
+from tickloom.operators.accounts import round_trip_cents
 from tickloom.plans.accounts import CENTS, COST, costs
 from tickloom.plans.market import clean
 from tickloom.plans.oracle import CLEAN
 from tickloom.plans.registry import Registry
-from tickloom.plans.trading import GREEDY, context, mae_mfe, taken
+from tickloom.plans.trading import FEATURED, GREEDY, LEVELS, STOPS, context, crossing, exit_outcomes, mae_mfe, taken, trigger_events
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -98,6 +99,30 @@ def trade_12m(spark: SparkSession, folder: str) -> DataFrame:
     return shown(made, [*KEYS, "month"], ["trades_12m"], ["net_12m"])
 
 
+#: Every trigger of the catalogue under six direction variants with 14 exits, after baseline costs.
+RULES = FEATURED + ", ev0 as materialized (" + " union all ".join(crossing(n, c, v) for n, (c, v) in LEVELS.items()) + f"""), out0 as materialized ({STOPS}), {COST}, {PRICES}
+va(variant, way, side) as (values """ + ", ".join(f"('{n}', {way}, {only})" for n, way, only in simulate.VARIANTS) + """),
+out_ as materialized (select row_number() over () as id, o.instrument, o.sday, trigger_id, variant, o.exit_id, o.tmin, o.exit_tmin, pnl - base / 100.0::double / point as net
+  from ev0 join va on side = 0 or side = sign join out0 o on o.instrument = ev0.instrument and o.tmin = ev0.tmin and o.dir = way * sign join kk on kk.instrument = o.instrument where base is not null),
+ev as (select instrument, sday, trigger_id, variant, exit_id, tmin as t, 1 as kind, id as start_id, null as id from out_ union all select instrument, sday, trigger_id, variant, exit_id, exit_tmin, 0, null, id from out_),
+nx as materialized (select id, next from (select id, first_value(start_id ignore nulls) over (partition by instrument, sday, trigger_id, variant, exit_id order by t, kind rows between current row and unbounded following) as next from ev) where id is not null and next is not null),
+first as materialized (select arg_min(id, tmin) as id from out_ group by instrument, sday, trigger_id, variant, exit_id),
+go as materialized (with recursive r as (select id from first union all select next as id from r join nx using (id)) select * from r),
+eq as (select *, sum(net) over (partition by instrument, trigger_id, variant, exit_id order by tmin rows unbounded preceding) as eq from go join out_ using (id)),
+dd as (select *, greatest(max(eq) over (partition by instrument, trigger_id, variant, exit_id order by tmin rows unbounded preceding), 0) - eq as dd from eq)
+select instrument, trigger_id, variant, exit_id, count(*) as n, count(*) filter (net > 0) as wins, """ + ", ".join(f"round({e} + 1e-7::double, 4) + 0.0 as {n}" for n, e in (("sum", "sum(net)"), ("sumsq", "sum(net * net)"), ("sumpos", "sum(greatest(net, 0))"), ("sumneg", "sum(least(net, 0))"), ("maxdd", "max(dd)"))) + " from dd group by all"
+
+
+@add("rule_evaluation", RULES)
+def rule_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    k = costs(spark, folder)
+    cents = round_trip_cents(F.col("commission_round_trip"), F.col("slippage_ticks_per_side"), F.col("tick_size"), F.col("point_value"), F.col("extra"))
+    points = k.select("instrument", (cents / 100 / F.col("point_value")).alias("cost")).where("cost is not null")
+    events = simulate.rule_events(trigger_events(spark, folder), exit_outcomes(spark, folder)).join(points, "instrument")
+    made = simulate.rule_stats(events, F.col("cost"))
+    return shown(made, ["instrument", "trigger_id", "variant", "exit_id"], ["n", "wins"], ["sum", "sumsq", "sumpos", "sumneg", "maxdd"])
+
+
 @add("backtest_trades")
 def backtest_trades(spark: SparkSession, folder: str) -> DataFrame:
     """Occupation signals in the regular window with a stop of one and a target of two 15-bar ranges, for an hour at most."""
