@@ -31,14 +31,42 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return grid.unobserved_periods(table(spark, folder, "bars"), table(spark, folder, "aligned"), table(spark, folder, "sessions"))
 
 
-@REGISTRY.add("p1_grid")
+def grid_sql(source: str, sessions: str) -> str:
+    """The grid by sums over every pair of a reading and a period less than three periods away; ``source`` has
+    source, t, x, c, v and ok (whether c counts for a period at the reading's minute from the session's open)."""
+    moments = ", ".join(f"sum({w}) filter (isfinite({y})) as {y}{n}" for y in ("c", "v") for n, w in (("0", "w"), ("1", "w * d"), ("2", "w * d * d"), ("s", "w * w"), ("p", f"w * {y}"), ("q", f"w * d * {y}")))
+    fit = lambda y: f"case when {y}0 * {y}2 - {y}1 * {y}1 > 1e-9 * {y}0 * {y}0 then ({y}2 * {y}p - {y}1 * {y}q) / ({y}0 * {y}2 - {y}1 * {y}1) else {y}p / {y}0 end"
+    support = lambda y: f"coalesce({y}0 * {y}0 / {y}s, 0)"
+    return f"""with s2 as (select row_number() over () as id, instrument as source, sday, open_tmin as a, step_min as step, cast(ceil((close_tmin - open_tmin) / step_min::double) as bigint) as n from {sessions} where instrument is not null and sday is not null and close_tmin > open_tmin and step_min >= 1),
+cells as (select id, source, sday, a, step, n, unnest(range(0, n)) as k from s2),
+r as ({source}),
+own as (select s2.id, s2.a, s2.step, s2.n, (r.t - s2.a) // s2.step as p, r.t, r.x, case when ok or (r.t - s2.a) % s2.step = 0 then r.c end as c, r.v, (r.x - s2.a) / s2.step as u from r join s2 on s2.source = r.source and r.t >= s2.a and r.t < s2.a + s2.n * s2.step),
+o as (select id, p as k, count(c) as n_obs, arg_max(c, (t, x, c)) filter (c is not null) as last from own group by 1, 2),
+near as (select id, n, u, c, v, unnest(range(cast(floor(u) as bigint) - 2, cast(floor(u) as bigint) + 4)) as k from own),
+wd as (select id, k, c, v, u - k as d, 1 - ((u - k) / 3) * ((u - k) / 3) as w from near where k >= 0 and k < n),
+m as (select id, k, {moments} from wd where w > 0 group by 1, 2),
+f as (select c.source, c.sday, c.a + c.k * c.step as tmin, coalesce(o.n_obs, 0) as n_obs, o.last, {support('c')} as c_support, {support('v')} as v_support, {fit('c')} as c_fit, {fit('v')} as v_fit from cells c left join o using (id, k) left join m using (id, k))
+select source, sday, tmin, cast(n_obs as integer) as n_obs, last, case when c_support >= 2 then round(c_fit + 1e-9::double, 4) + 0.0 end as c_fit, round(c_support + 1e-9::double, 4) as c_support, case when v_support >= 2 then round(v_fit + 1e-9::double, 4) + 0.0 end as v_fit,
+  round(v_support + 1e-9::double, 4) as v_support, case when n_obs > 0 then 'observed' when c_support >= 2 then 'filled' else 'missing' end as mark from f"""
+
+
+CLEAR = "case when not isnan({0}) then {0} end"
+BAR_READINGS = f"select instrument as source, tmin as t, coalesce(epoch_us(ts) / 6e7::double, tmin) as x, {CLEAR.format('c')} as c, {CLEAR.format('v')} as v, true as ok from bars where instrument is not null and tmin is not null and (({CLEAR.format('c')}) is not null or ({CLEAR.format('v')}) is not null)"
+ES_READINGS = f"select 'ES' as source, tmin as t, tmin::double as x, {CLEAR.format('ec')} as c, {CLEAR.format('ev')} as v, false as ok from aligned where tmin is not null and evalid and (({CLEAR.format('ec')}) is not null or ({CLEAR.format('ev')}) is not null)"
+
+
+def shown_grid(made: DataFrame) -> DataFrame:
+    return made.withColumns({c: F.round(F.col(c) + 1e-9, 4) + 0.0 for c in ("c_fit", "c_support", "v_fit", "v_support")})
+
+
+@REGISTRY.add("p1_grid", grid_sql(BAR_READINGS, "sessions"))
 def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return grid.market_grid(table(spark, folder, "bars"), table(spark, folder, "sessions"))
+    return shown_grid(grid.market_grid(table(spark, folder, "bars"), table(spark, folder, "sessions")))
 
 
-@REGISTRY.add("p1_aligned_grid")
+@REGISTRY.add("p1_aligned_grid", grid_sql(ES_READINGS, "(select * from sessions where instrument = 'ES')"))
 def p1_aligned_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return grid.aligned_grid(table(spark, folder, "aligned"), table(spark, folder, "sessions"))
+    return shown_grid(grid.aligned_grid(table(spark, folder, "aligned"), table(spark, folder, "sessions")))
 
 
 @REGISTRY.add("p3_found")
