@@ -126,6 +126,14 @@ def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _totals(_latest_days(spark, folder))
 
 
-@REGISTRY.add("p4_recorded_totals")
+P4_RECORDED = """
+with firsts as (select candidate_id, first_session, daily_r, daily_count from (select *, row_number() over (partition by candidate_id order by recorded_ts nulls last, first_session, daily_r nulls first, daily_count nulls first) as k
+  from candidates where candidate_id is not null and first_session is not null) where k = 1),
+at_ as (select *, unnest(range(greatest(coalesce(len(daily_r), 0), coalesce(len(daily_count), 0)))) as i from firsts),
+latest as (select candidate_id, cast(first_session + i as integer) as session, coalesce(case when not isnan(daily_r[i + 1]) then daily_r[i + 1] end, 0) as r, coalesce(daily_count[i + 1], 0) as n from at_),
+"""
+
+
+@REGISTRY.add("p4_recorded_totals", P4_RECORDED + P4_WINDOWS + P4_TOTALS)
 def p4_recorded_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _totals(trailing.recorded_days(table(spark, folder, "candidates")))
