@@ -46,6 +46,15 @@ def test_family_inference_against_a_matrix(spark):
     assert inf.family_inference(df.limit(0)).count() == 0
 
 
+def test_one_stream_equals_the_grouped_t(spark):
+    import numpy as np
+    from tickloom.operators import inference as inf
+
+    x = np.random.default_rng(8).normal(0.1, 1, 90)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "entity string, day int, r double")
+    assert abs(inf.hac_t(df, 20).first().t - inf.bartlett_t(x, 20)) < 1e-9
+
+
 def test_stationary_blocks_have_the_mean_length():
     import numpy as np
     from tickloom.operators.inference import stationary_blocks
