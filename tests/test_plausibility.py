@@ -62,6 +62,19 @@ def test_order_repeats_and_blocks_do_not_matter(spark):
     assert cases <= cut and len(cut ^ got) <= 3
 
 
+def test_decades_of_one_source(spark):
+    from pyspark.sql import functions as F
+
+    rows = market(7, 1200, "A", 0)
+    rows[300][6] *= 1.1
+    rows[300][4] = rows[300][6]
+    cycles = spark.range(30).withColumnRenamed("id", "k")  # 36,000 readings over 58 years, a cycle every two
+    long = spark.createDataFrame([tuple(r) for r in rows], BARS).join(F.broadcast(cycles))
+    long = long.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") - F.col("k") * 2 * 365 * 86_400_000_000)).withColumn("bar_id", F.col("bar_id") + 10_000 * F.col("k"))
+    got = {r.bar_id for r in p.implausible_ids(long).collect()}
+    assert {300 + 10_000 * k for k in range(30)} <= got and len(got) <= 40
+
+
 def test_odd_rows(spark):
     rows = [[1, None, START, 1.0, 0.5, 0.4, 1.0, 1.0, "x"], [2, "A", None, 1.0, 2.0, 0.5, float("inf"), 1.0, "x"], [3, "A", START, None, None, None, None, None, "x"], [None, "A", START, -1.0, 1.0, 1.0, 1.0, 1.0, "x"], [4, "B", START, 5.0, 6.0, 4.0, 5.0, 2.0, "x"], [4, "B", START, 5.0, 6.0, 4.0, 5.0, 2.0, "x"]]
     assert flagged(spark, rows) == {1, 2}

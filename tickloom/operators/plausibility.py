@@ -247,7 +247,8 @@ def implausible_readings(bars: DataFrame, *, threshold: float = 0.5, block_readi
         bars.where("instrument is not null and ts is not null").groupBy(F.col("instrument").alias("source"))
         .agg(F.count("*").alias("n"), F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last"))
         .where(F.col("n") >= 2 * block_readings)
-        .select("source", "first", (F.floor((F.col("last") - F.col("first")) * block_readings / F.col("n")) + 1).alias("span"))
+        # as doubles: microseconds of 18 years times the readings of a block are beyond a bigint
+        .select("source", "first", (F.floor((F.col("last") - F.col("first")).cast("double") * block_readings / F.col("n")) + 1).alias("span"))
     )
     few = len(spans.select("source").take(broadcast_sources + 1)) <= broadcast_sources
     cut = read.join(F.broadcast(spans) if few else spans, "source", "left")
