@@ -72,3 +72,22 @@ def test_a_breach_below_the_daily_limit_fails():
     assert evaluate(Profile(), pnl, np.minimum(pnl, 0), 0)[0] == "fail"
     pnl[0] = -1500.0
     assert evaluate(Profile(), pnl, np.minimum(pnl, 0), 0)[2] == 50_000 - 1000 + 400
+
+
+def test_bh_by_of_many_candidates_in_one_pass(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tickloom.operators import inference as inf
+    from tickloom.plans.research import bh_by_of
+
+    m = 5000
+    t = spark.range(m).select(F.col("id").cast("string").alias("candidate_id"), (F.pmod(F.col("id") * 7919, F.lit(m)) / 600.0).alias("t"))
+    got = sorted(bh_by_of(t).collect(), key=lambda r: r["rank"])
+    p = np.sort(np.round(1 / (1 + np.exp(1.702 * np.arange(m) / 600.0)), 10))
+    running = np.minimum.accumulate((m * p / np.arange(1, m + 1))[::-1])[::-1]
+    assert [r["rank"] for r in got] == list(range(1, m + 1))
+    assert np.allclose([r.bh for r in got], np.minimum(running, 1), atol=2e-8, rtol=0)
+    assert np.allclose([r.by_adjusted for r in got], np.minimum(running * (1 / np.arange(1, m + 1)).sum(), 1), atol=2e-8, rtol=0)
+    sizes = [1, 2, 999, 1000, 1001, 20_000, 3_000_000]
+    sums = spark.createDataFrame([(n,) for n in sizes], "m bigint").select("m", inf.harmonic(F.col("m")).alias("h")).collect()
+    assert all(abs(r.h - (1 / np.arange(1, r.m + 1)).sum()) < 1e-12 for r in sums)

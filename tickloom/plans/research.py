@@ -214,9 +214,7 @@ def bh_by(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bh_by_of(t: DataFrame) -> DataFrame:
-    p = p_values(t)
-    bh, by = inf.benjamini(p), inf.benjamini(p, dependent=True)
-    return bh.select("id", "rank", F.round("adjusted", 8).alias("bh")).join(by.select("id", F.round("adjusted", 8).alias("by_adjusted")), "id")
+    return inf.benjamini_both(p_values(t)).select("id", "rank", F.round("bh", 8).alias("bh"), F.round("by", 8).alias("by_adjusted"))
 
 
 # The same over every calendar day of a stream, days without rows as 0, and with the operator's 20 lags.
