@@ -142,3 +142,29 @@ def test_recursions():
     assert np.allclose(ewm(x, 3, 1), [np.nan, 1, 1, 2, 3.5], equal_nan=True)
     assert np.isnan(ewm(x, 3)[1]) and ewm(x, 3)[3] == 2
     assert cusum(np.array([1.0, 1.0, 1.0, -3.0, -3.0]), 0.5, 1.2).tolist() == [0, 0, 1, -1, -1]
+
+
+def test_sums_are_added_in_the_order_of_trades(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 3, (3, 120)), 5)
+    df = spark.createDataFrame([(f"k{k}", i, float(x[k, i])) for i in rng.permutation(120).tolist() for k in range(3)], "k string, trade_no int, pnl double")
+    got = {r.k: r for r in s.trade_metrics(df, ["k"]).collect()}
+    for k in range(3):
+        total, gain, loss = 0.0, 0.0, 0.0
+        for v in x[k].tolist():
+            total, gain, loss = total + v, gain + max(v, 0.0), loss + max(-v, 0.0)
+        assert (got[f"k{k}"].total, got[f"k{k}"].profit_factor) == (total, gain / loss)
+
+
+def test_rule_stats_equals_its_sql_at_halves(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from test_queries import rows
+
+    folder, db = "/root/testdata/sf0.01", duckdb.connect()
+    for path in Path(folder).iterdir():
+        db.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
+    assert rows(entry.queries()["rule_stats"](spark, folder).toPandas()) == rows(db.execute(entry.oracle_sql()["rule_stats"]).df())

@@ -239,12 +239,18 @@ def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def trade_metrics(trades: DataFrame, keys: list[str], pnl: str = "pnl", order: str = "trade_no") -> DataFrame:
-    """Counts, sums, profit factor, drawdown and the longest losing streak of each key's trades in order."""
+    """Counts, sums, profit factor, drawdown and the longest losing streak of each key's trades in order.
+
+    Sums are added in the trades' order, so a total that lies at a half of the last place shown doesn't depend on tasks."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    eq = trades.withColumn("_eq", F.sum(pnl).over(w)).withColumn("_lose", (F.col(pnl) < 0).cast("int"))
+    x = F.col(pnl)
+    sums = {"_eq": x, "_ss": x * x, "_gain": F.greatest(x, F.lit(0.0)), "_loss": F.greatest(-x, F.lit(0.0))}
+    eq = trades.withColumns({k: F.sum(v).over(w) for k, v in sums.items()}).withColumn("_lose", (x < 0).cast("int"))
     eq = eq.withColumn("_dd", F.greatest(F.max("_eq").over(w), F.lit(0.0)) - F.col("_eq")).withColumn("_island", F.sum(1 - F.col("_lose")).over(w))
-    streaks = eq.groupBy(*keys, "_island").agg(F.sum("_lose").alias("_streak"), F.count("*").alias("_k"), F.sum(pnl).alias("_s"), F.sum(F.col(pnl) * F.col(pnl)).alias("_ss"), F.sum((F.col(pnl) > 0).cast("int")).alias("_win"), F.sum(F.greatest(F.col(pnl), F.lit(0.0))).alias("_gain"), F.sum(F.greatest(-F.col(pnl), F.lit(0.0))).alias("_loss"), F.max("_dd").alias("_dd"))
-    total = streaks.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum("_s").alias("total"), F.sum("_ss").alias("_sumsq"), F.sum("_win").alias("_wins"), F.sum("_gain").alias("_gain"), F.sum("_loss").alias("_loss"), F.max("_dd").alias("max_drawdown"), F.max("_streak").alias("losing_streak"))
+    last = F.max(F.struct(F.col(order).alias("_at"), *sums)).alias("_last")
+    streaks = eq.groupBy(*keys, "_island").agg(F.sum("_lose").alias("_streak"), F.count("*").alias("_k"), F.sum((x > 0).cast("int")).alias("_win"), last, F.max("_dd").alias("_dd"))
+    total = streaks.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum("_win").alias("_wins"), F.max("_last").alias("_last"), F.max("_dd").alias("max_drawdown"), F.max("_streak").alias("losing_streak"))
+    total = total.withColumns({"total": F.col("_last._eq"), "_sumsq": F.col("_last._ss"), "_gain": F.col("_last._gain"), "_loss": F.col("_last._loss")})
     var = (F.col("_sumsq") - F.col("total") * F.col("total") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
     return total.select(
         *keys, "n", "total", (F.col("total") / F.col("n")).alias("mean"), (F.col("_wins") / F.col("n")).alias("win_rate"),

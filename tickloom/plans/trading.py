@@ -249,8 +249,10 @@ select instrument, exit_id, dir, count(*) as n, round(sum(pnl), 4) + 0.0 as tota
   round(max(dd), 4) + 0.0 as max_drawdown, any_value(st.losing_streak) as losing_streak from dd join st using (instrument, exit_id, dir) group by all""")
 def rule_stats(spark: SparkSession, folder: str) -> DataFrame:
     s = simulate.trade_metrics(taken(spark, folder), ["instrument", "exit_id", "dir"], order="tmin")
-    r = lambda c, d: (F.round(c, d) + 0.0).alias(c)
-    return s.select("instrument", "exit_id", "dir", "n", r("total", 4), (F.round(F.col("mean") + 1e-9, 6) + 0.0).alias("mean"), r("win_rate", 6), r("profit_factor", 4), r("t_stat", 4), r("max_drawdown", 4), "losing_streak")
+    # as the SQL rounds: the scaled double, not its shortest decimal
+    scaled = lambda x, d: F.round(x * 10.0**d) / 10.0**d + 0.0
+    r = lambda c, d: scaled(F.col(c), d).alias(c)
+    return s.select("instrument", "exit_id", "dir", "n", r("total", 4), scaled(F.col("mean") + 1e-9, 6).alias("mean"), r("win_rate", 6), r("profit_factor", 4), r("t_stat", 4), r("max_drawdown", 4), "losing_streak")
 
 
 @add("mae_mfe", GREEDY + f""", {CLEAN}, e as (select tr.*, (select arg_min(b.o, b.tmin) from b where b.instrument = tr.instrument and b.sday = tr.sday and b.tmin > tr.tmin and b.tmin <= tr.exit_tmin) as price from tr)
